@@ -1 +1,5 @@
+"""Importing this registers the queries of all operators."""
 
+from millrace.operators import postings
+
+__all__ = ["postings"]
