@@ -6,9 +6,10 @@
 3. Packed signatures are compared by bit counts; the estimate is corrected for chance collisions (a 16th) and a
    pair goes on unless it is more than 5 standard deviations below the threshold.
 4. Pairs are confirmed on the sets, and links joined into components.
-5. Buckets that still hold several components are gone through whole: their classes of different components are
-   compared by bit counts, in blocks, and what passes is confirmed too. Thus a group of copies costs its size,
-   not its square, and no pair that shares a bucket and could still join two components is left untested.
+5. Buckets that still hold several components are gone through whole, in blocks: classes of different components
+   are compared by bit counts and, where they pass, confirmed on the spot; only links leave the task. Thus pairs
+   inside a component cost nothing, no pair that shares a bucket and could still join two components is left
+   untested, and a large bucket is spread over tasks.
 
 A pair at the threshold of 85 % misses every one of the 36 bands with probability 4e-8.
 
@@ -100,11 +101,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n_shingles long, fp binary, bands array<long>, sig array<long>")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose full sets are similar enough."""
-    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "id", "fp"), "node"))
-    ids = need.select("id").distinct()
-    texts = join_checked(docs, ids.withColumnRenamed("id", "wanted"), docs["id"].eqNullSafe(F.col("wanted")), "left_semi")
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, set (sorted fingerprints, as bytes) of the nodes, from the text of one document each."""
+    need = cut(nodes.join(classes.select("node", "id", "fp"), "node"))
+    ids = need.select(F.col("id").alias("wanted")).distinct()
+    texts = join_checked(docs, ids, docs["id"].eqNullSafe(F.col("wanted")), "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -115,15 +116,22 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                 yield pd.DataFrame({"fp": [xxhash.xxh128_digest(d) for d in data], "set": data})
 
     found = texts.select("text").mapInPandas(run, "fp binary, set binary").join(need.select("fp", "node"), "fp").dropDuplicates(["node"])
-    found = cut(found.select("node", "set"))
+    return cut(found.select("node", "set"))
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose full sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = _sets_of(nodes, classes, docs, k)
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
     with_b = pairs.join(found.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -150,51 +158,57 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a bucket, are in different components and pass the bit count."""
+def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and are in different components so far.
+
+    Buckets with several components are gone through whole, in blocks: packed signatures first, then full sets,
+    right there, so that only links leave a task, and of these none between what the task has joined before. A
+    pair is tested in the first bucket that it shares.
+    """
     lab = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lab = cut(lab)
     several = lab.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
-    rows = lab.join(several, "bucket").join(classes.select("node", "sig", "n_shingles"), "node")
+    rows = cut(lab.join(several, "bucket"))
+    sets = _sets_of(rows.select("node").distinct(), classes, docs, k)
+    held = sets.join(classes.select("node", "sig", "bands"), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n_shingles", "sig")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(held, "node")
     edge = least_matches(percent)
     fold, ones = [np.uint64(s) for s in (1, 2, 3)], np.uint64(0x1111111111111111)
 
-    def pairs_in(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.stack(g["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-        own, node, root, n = (g[c].to_numpy() for c in ("own", "node", "root", "n_shingles"))
-        x, y = [], []
-        split = g["i"].iloc[0] != g["j"].iloc[0]
+    def links_in(g: pd.DataFrame) -> list[tuple[int, int]]:
+        sig, bands = np.stack(g["sig"].to_numpy()).astype(np.int64).view(np.uint64), np.stack(g["bands"].to_numpy())
+        own, node = g["own"].to_numpy(), g["node"].to_numpy()
+        full = [np.frombuffer(s, dtype=np.uint64) for s in g["set"]]
+        n, (_, part) = np.array([len(s) for s in full]), np.unique(g["root"].to_numpy(), return_inverse=True)
+        band = int(np.flatnonzero(bands[0] == g["bucket"].iloc[0])[0])
+        split, out = g["i"].iloc[0] != g["j"].iloc[0], []
         for r in range(len(g) - 1):
-            z = sig[r] ^ sig[r + 1 :]
-            z |= (z >> fold[0]) | (z >> fold[1]) | (z >> fold[2])
-            same = LANES - np.bitwise_count(z & ones).sum(axis=1, dtype=np.int64)
-            a, b = n[r], n[r + 1 :]
-            ok = (same >= edge) & (root[r + 1 :] != root[r]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            ok = (part[r + 1 :] != part[r]) & (100 * np.minimum(n[r], n[r + 1 :]) >= percent * np.maximum(n[r], n[r + 1 :]))
             if split:
                 ok &= own[r + 1 :] != own[r]
-            hit = np.flatnonzero(ok) + r + 1
-            x.append(np.full(len(hit), node[r]))
-            y.append(node[hit])
-        x, y = np.concatenate(x), np.concatenate(y)
-        return np.maximum(x, y), np.minimum(x, y)
+            at = np.flatnonzero(ok) + r + 1
+            z = sig[r] ^ sig[at]
+            z |= (z >> fold[0]) | (z >> fold[1]) | (z >> fold[2])
+            at = at[LANES - np.bitwise_count(z & ones).sum(axis=1, dtype=np.int64) >= edge]
+            for q in at[~(bands[at, :band] == bands[r, :band]).any(axis=1)].tolist():
+                if part[q] != part[r] and _similar(full[r], full[q], percent):
+                    out.append((int(node[r]), int(node[q])))
+                    part[part == part[q]] = part[r]
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        rest = None
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             key = batch[["bucket", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            held = batch.iloc[cuts[-1] if len(cuts) else 0 :]  # a group is whole when the next begins
-            for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True):
-                if hi - lo > 1:
-                    a, b = pairs_in(batch.iloc[lo:hi])
-                    yield pd.DataFrame({"a": a, "b": b})
-        if held is not None and len(held) > 1:
-            a, b = pairs_in(held)
-            yield pd.DataFrame({"a": a, "b": b})
+            rest = batch.iloc[cuts[-1] if len(cuts) else 0 :]  # a group is whole when the next begins
+            out = [link for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True) if hi - lo > 1 for link in links_in(batch.iloc[lo:hi])]
+            yield pd.DataFrame(out, columns=["a", "b"])
+        if rest is not None and len(rest) > 1:
+            yield pd.DataFrame(links_in(rest), columns=["a", "b"])
 
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, "a long, b long").distinct()
 
@@ -213,13 +227,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda c, s: classes.select(F.col("node").alias(c), F.col("sig").alias(s), F.col("n_shingles").alias(s + "n"))
     near = star.join(side("a", "x"), "a").join(side("b", "y"), "b")
     near = near.where((matches("x", "y") >= least_matches(percent)) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")))
-    tested = cut(near.select("a", "b"))
-    links = [_confirm(tested, classes, plain, k, percent)]
+    links = [_confirm(cut(near.select("a", "b")), classes, plain, k, percent)]
     roots = cut(components(links[0]))
-    more = _across(members, classes, roots, percent).join(tested, ["a", "b"], "left_anti")
-    more = cut(more)
+    more = cut(_across(members, classes, roots, plain, k, percent))
     if not more.isEmpty():
-        links.append(_confirm(more, classes, plain, k, percent))
+        links.append(more)
         roots = cut(components(reduce(DataFrame.unionByName, links)))
     label = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = label.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("id").alias("component_id"))
