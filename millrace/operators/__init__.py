@@ -1,5 +1,5 @@
 """Importing this registers the queries of all operators."""
 
-from millrace.operators import postings
+from millrace.operators import filings, postings, ranking
 
-__all__ = ["postings"]
+__all__ = ["filings", "postings", "ranking"]
