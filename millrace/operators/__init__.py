@@ -1,5 +1,6 @@
 """Importing this registers the queries of all operators."""
 
-from millrace.operators import filings, postings, ranking
+from millrace.operators import filings, postings, ranking, retrieval, selection
+from millrace.streaming import events
 
-__all__ = ["filings", "postings", "ranking"]
+__all__ = ["events", "filings", "postings", "ranking", "retrieval", "selection"]
