@@ -19,7 +19,8 @@ BROADCAST_ROWS = 500_000
 HOT_SHARE = 1e-3
 HOT_LEAST = 200
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of inner actions: shuffle files go when the action ends, and Arrow batches stay small in memory.
+_INNER = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,21 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _shuffles_freed(spark: SparkSession):
-    """Shuffle files of what is planned inside go as soon as its action ends."""
-    old = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def inner_action(spark: SparkSession):
+    """What is planned and run inside has the settings of inner actions."""
+    old = {k: spark.conf.get(k, None) for k in _INNER}
+    for k, v in _INNER.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if old is None else spark.conf.set(_CLEANUP, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once into the shared folder and carry on from there; survives lost executors."""
     spark = df.sparkSession
     shared_dir(spark)
-    with _shuffles_freed(spark):
+    with inner_action(spark):
         return df.select("*").checkpoint(eager=True)
 
 

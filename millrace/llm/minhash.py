@@ -158,59 +158,92 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+_GROUP = ["bucket", "i", "j"]
+_ROW = "bucket long, i int, j int, own int, node long, root long"
+
+
+def _by_group(rows: DataFrame, each, schema: str) -> DataFrame:
+    """each(group) for the rows of each block pair; a group is whole when the next begins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key = batch[_GROUP].to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            rest = batch.iloc[cuts[-1] if len(cuts) else 0 :]
+            out = [each(batch.iloc[lo:hi]) for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True) if hi - lo > 1]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if rest is not None and len(rest) > 1:
+            yield each(rest)
+
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(run, schema)
+
+
+class _Pairs:
+    """The pairs of a group that may link: of different components, near enough by size and bit count, and in the
+    first bucket that the two share."""
+
+    fold, ones = [np.uint64(s) for s in (1, 2, 3)], np.uint64(0x1111111111111111)
+
+    def __init__(self, g: pd.DataFrame, percent: int):
+        self.sig, self.bands = np.stack(g["sig"].to_numpy()).astype(np.int64).view(np.uint64), np.stack(g["bands"].to_numpy())
+        self.own, self.n, self.percent, self.edge = g["own"].to_numpy(), g["n_shingles"].to_numpy(), percent, least_matches(percent)
+        self.part = np.unique(g["root"].to_numpy(), return_inverse=True)[1]
+        self.band = int(np.flatnonzero(self.bands[0] == g["bucket"].iloc[0])[0])
+        self.split = g["i"].iloc[0] != g["j"].iloc[0]
+
+    def of(self, r: int) -> np.ndarray:
+        n, m = self.n[r], self.n[r + 1 :]
+        ok = (self.part[r + 1 :] != self.part[r]) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))
+        if self.split:
+            ok &= self.own[r + 1 :] != self.own[r]
+        at = np.flatnonzero(ok) + r + 1
+        if not len(at):
+            return at
+        z = self.sig[r] ^ self.sig[at]
+        z |= (z >> self.fold[0]) | (z >> self.fold[1]) | (z >> self.fold[2])
+        at = at[LANES - np.bitwise_count(z & self.ones).sum(axis=1, dtype=np.int64) >= self.edge]
+        return at[~(self.bands[at, : self.band] == self.bands[r, : self.band]).any(axis=1)]
+
+
 def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that share a bucket and are in different components so far.
 
-    Buckets with several components are gone through whole, in blocks: packed signatures first, then full sets,
-    right there, so that only links leave a task, and of these none between what the task has joined before. A
-    pair is tested in the first bucket that it shares.
+    Buckets with several components are gone through whole, in blocks. A first pass over packed signatures finds the
+    classes with a pair that may link; a second has their full sets at hand and confirms on the spot, so that only
+    links leave a task, and of these none between what the task has joined before.
     """
-    lab = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lab = cut(lab)
+    lab = cut(members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     several = lab.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
-    rows = cut(lab.join(several, "bucket"))
-    sets = _sets_of(rows.select("node").distinct(), classes, docs, k)
-    held = sets.join(classes.select("node", "sig", "bands"), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(held, "node")
-    edge = least_matches(percent)
-    fold, ones = [np.uint64(s) for s in (1, 2, 3)], np.uint64(0x1111111111111111)
+    rows = lab.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    signed = classes.select("node", "sig", "bands", "n_shingles")
 
-    def links_in(g: pd.DataFrame) -> list[tuple[int, int]]:
-        sig, bands = np.stack(g["sig"].to_numpy()).astype(np.int64).view(np.uint64), np.stack(g["bands"].to_numpy())
-        own, node = g["own"].to_numpy(), g["node"].to_numpy()
+    def open_rows(g: pd.DataFrame) -> pd.DataFrame:
+        pairs, keep = _Pairs(g, percent), np.zeros(len(g), dtype=bool)
+        for r in range(len(g) - 1):
+            at = pairs.of(r)
+            if len(at):
+                keep[r] = True
+                keep[at] = True
+        return g.loc[keep, ["bucket", "i", "j", "own", "node", "root"]]
+
+    def links(g: pd.DataFrame) -> pd.DataFrame:
+        pairs, node, out = _Pairs(g, percent), g["node"].to_numpy(), []
         full = [np.frombuffer(s, dtype=np.uint64) for s in g["set"]]
-        n, (_, part) = np.array([len(s) for s in full]), np.unique(g["root"].to_numpy(), return_inverse=True)
-        band = int(np.flatnonzero(bands[0] == g["bucket"].iloc[0])[0])
-        split, out = g["i"].iloc[0] != g["j"].iloc[0], []
         for r in range(len(g) - 1):
-            ok = (part[r + 1 :] != part[r]) & (100 * np.minimum(n[r], n[r + 1 :]) >= percent * np.maximum(n[r], n[r + 1 :]))
-            if split:
-                ok &= own[r + 1 :] != own[r]
-            at = np.flatnonzero(ok) + r + 1
-            z = sig[r] ^ sig[at]
-            z |= (z >> fold[0]) | (z >> fold[1]) | (z >> fold[2])
-            at = at[LANES - np.bitwise_count(z & ones).sum(axis=1, dtype=np.int64) >= edge]
-            for q in at[~(bands[at, :band] == bands[r, :band]).any(axis=1)].tolist():
-                if part[q] != part[r] and _similar(full[r], full[q], percent):
+            for q in pairs.of(r).tolist():
+                if pairs.part[q] != pairs.part[r] and _similar(full[r], full[q], percent):
                     out.append((int(node[r]), int(node[q])))
-                    part[part == part[q]] = part[r]
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = batch[["bucket", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            rest = batch.iloc[cuts[-1] if len(cuts) else 0 :]  # a group is whole when the next begins
-            out = [link for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True) if hi - lo > 1 for link in links_in(batch.iloc[lo:hi])]
-            yield pd.DataFrame(out, columns=["a", "b"])
-        if rest is not None and len(rest) > 1:
-            yield pd.DataFrame(links_in(rest), columns=["a", "b"])
+                    pairs.part[pairs.part == pairs.part[q]] = pairs.part[r]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, "a long, b long").distinct()
+    left = cut(_by_group(rows.join(signed, "node"), open_rows, _ROW))
+    sets = _sets_of(left.select("node").distinct(), classes, docs, k)
+    return _by_group(left.join(sets, "node").join(signed, "node"), links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.base import _shuffles_freed, text_or_empty
+from millrace.llm.base import inner_action, text_or_empty
 
 NULL_ID = -(1 << 63)
 
@@ -75,7 +75,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
         else:
             os.remove(f"{own}.ids")
 
-    with _shuffles_freed(docs.sparkSession):
+    with inner_action(docs.sparkSession):
         plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_col).alias("text"))
         dealt = plain.repartitionByRange("id").sortWithinPartitions("id", "text")
         # one small row a shard comes to the driver
