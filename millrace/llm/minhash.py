@@ -170,9 +170,9 @@ def _by_group(rows: DataFrame, each, schema: str) -> DataFrame:
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             key = batch[_GROUP].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            rest = batch.iloc[cuts[-1] if len(cuts) else 0 :]
-            out = [each(batch.iloc[lo:hi]) for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True) if hi - lo > 1]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            rest = batch.iloc[cuts[-1] :]
+            out = [each(batch.iloc[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1]
             if out:
                 yield pd.concat(out, ignore_index=True)
         if rest is not None and len(rest) > 1:
