@@ -63,8 +63,9 @@ def skills(title: Column, description: Column, keywords=R.SKILLS) -> Column:
     r = r"\b(?:r programming|r language|programming in r|statistical computing in r|experience (?:with|using) r|using r (?:for|to|and))\b"
 
     def hits(t: Column) -> Column:
-        named = [F.when(t.rlike(f"(?<![a-z0-9+#]){re.escape(k)}(?![a-z0-9+#])"), F.lit(alike.get(k, k))) for k in keywords]
-        return F.array_compact(F.array(*named, F.when(t.rlike(r), F.lit("r"))))
+        # the plain search comes first: it is quick, and most keywords aren't there at all
+        named = [F.when(t.contains(k) & t.rlike(f"(?<![a-z0-9+#]){re.escape(k)}(?![a-z0-9+#])"), F.lit(alike.get(k, k))) for k in keywords]
+        return F.array_compact(F.array(*named, F.when(any_in(t, (" r ", " r", "r ")) & t.rlike(r), F.lit("r"))))
 
     return let(scan(clean(title), start(description, 5000)), hits)
 

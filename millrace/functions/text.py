@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 #: Entities decoded natively; unescape_all has the rest.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-ANY_SPACE = r"(?U)\s+"
+ANY_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def let(c: Column, f) -> Column:

@@ -78,12 +78,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; one with as many partitions as cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame; its tables are bound to the statement, not to the catalog."""
     text = _TEXT[name]
     bound = {}
     for t in _TABLES[name]:
-        bound[f"t_{t}"] = table(spark, sf_dir, t)
+        bound[f"t_{t}"] = spread(table(spark, sf_dir, t)) if t == _TABLES[name][0] else table(spark, sf_dir, t)
         for word in ("FROM", "JOIN"):
             text = text.replace(f"{word} {t} ", f"{word} {{t_{t}}} {t} " if t != "documents" else f"{word} {{t_{t}}} ").replace(f"{word} {t})", f"{word} {{t_{t}}})").replace(f"{word} {t}\n", f"{word} {{t_{t}}}\n")
     return spark.sql(text, **bound)
