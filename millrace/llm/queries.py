@@ -49,6 +49,27 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(examples(turns.unionByName(extra)))
 
 
+def _sql_escaped(x: str) -> str:
+    from millrace.llm.chat import CONTROL
+
+    x = f"replace({x}, chr(92), chr(92) || chr(92))"
+    for c in CONTROL:
+        x = f"replace({x}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return x
+
+
+ORACLE["op8_chat_formatting"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, 24 + length(replace({_sql_escaped('role')}, chr(10), '<|nl|>')) + length({_sql_escaped('said')}) AS size, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said)),
+e AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS stop FROM n),
+c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(string_agg(said, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS loss,
+  CAST(sum(stop) FILTER (WHERE role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""
+
+
 @_query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
