@@ -34,7 +34,7 @@ FIRST, GROWTH = 0.1, 1.25
 #: A block is searched until k plus this share of its vectors passed the threshold.
 ENOUGH = 0.1
 #: Bytes of the queries that are broadcast at a time.
-QUERY_BYTES = 64_000_000
+QUERY_BYTES = 16_000_000
 
 
 def usable(v: str) -> Column:
