@@ -129,32 +129,119 @@ def labels_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.crossJoin(F.broadcast(away))
 
 
-def assign_greedily(pairs: DataFrame, least: float = 0.4) -> DataFrame:
-    """batch, company, item, score: companies in order take the best item that is left, from `least` on.
-
-    A batch is one request's items, a few hundred, and is the group.
+AUXILIARY = ("audition", "auditions", "survey", "surveys", "culture", "assessment", "assessments", "recruiting", "recruitment", "careers", "jobs")
+BATCH = 25
+EVIDENCE = """batch long, company long, item long, company_key string, observed_at string, provider string, provider_run_id string, input_mode string, input_value string, candidate_rank int,
+    candidate_linkedin_company_id string, candidate_linkedin_universal_name string, candidate_name string, candidate_linkedin_url string, candidate_website string, candidate_website_domain string,
+    candidate_employee_count string, candidate_industries_json string, match_features_json string, match_score double, confidence_label string, decision string, error_code string, error_message string,
+    cost_units double, raw_payload_json_private string"""
+
+
+def match_features(company: dict, item: dict) -> dict:
+    """The features of a pair; *_key are normalised names, domain and domains are lowered hosts."""
+    own, ck, dom, official = company["name_key"], item["name_key"], item["domain"], list(company["domains"])
+    related = any(dom and d and (dom == d or dom.endswith("." + d) or d.endswith("." + dom)) for d in official)
+    exact = bool(own and own in (ck, item["universal_key"]))
+    apart = bool(official and dom and not related)
+    auxiliary = apart and exact and all(any(t in d for t in AUXILIARY) for d in official)
+    return {
+        "input_name": company["name"], "input_company_key": company["company_key"], "candidate_name": item["name"], "candidate_universal_name": item["universal_name"], "candidate_domain": dom, "official_domains": official,
+        "name_exact": exact, "name_contains": bool(own and ck and not exact and (own in ck or ck in own)), "domain_match": related, "domain_conflict": apart and not auxiliary, "auxiliary_domain_conflict": auxiliary,
+        "has_linkedin_url": bool(item["linkedin_url"]), "has_employee_count": bool(item["employee_count"]), "has_industries": len(item["industries"]) > 0,
+    }
+
+
+def match_score(f: dict) -> float:
+    score = 0.58 if f["name_exact"] else 0.35 if f["name_contains"] else 0.0
+    score += 0.12 * f["has_linkedin_url"] + 0.08 * f["has_employee_count"] + 0.05 * f["has_industries"] + 0.17 * f["domain_match"] - 0.35 * f["domain_conflict"]
+    return round(max(0.0, min(1.0, score)), 4)
+
+
+def evidence_row(company: dict, item: dict | None, observed_at: str) -> dict:
+    """SID-17: an item as a row of evidence on its company; without one, a row that says so."""
+    import json
+
+    dump = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True)
+    row = {"batch": company["batch"], "company": company["company"], "company_key": company["company_key"], "observed_at": observed_at, "provider": "company_search", "provider_run_id": f"run-{company['batch']}", "input_mode": "searches", "input_value": company["name"], "candidate_rank": 1, "cost_units": 1.0}
+    if item is None or not any(item[k] for k in ("name", "linkedin_url", "id", "universal_name")):
+        return row | {"match_features_json": dump({"input_name": company["name"]}), "match_score": 0.0, "confidence_label": "none", "decision": "no_result", "error_code": "no_result", "error_message": "Provider returned no usable company item for this input.", "raw_payload_json_private": item["payload"] if item else "{}"}
+    f = match_features(company, item)
+    score = match_score(f)
+    label = "high" if score >= 0.8 else "medium" if score >= 0.6 else "low" if score >= 0.4 else "none"
+    decision = "review" if f["domain_conflict"] or label == "low" else "accepted" if label in ("high", "medium") else "rejected"
+    return row | {
+        "item": item["item"], "candidate_linkedin_company_id": item["id"], "candidate_linkedin_universal_name": item["universal_name"], "candidate_name": item["name"], "candidate_linkedin_url": item["linkedin_url"],
+        "candidate_website": item["website"], "candidate_website_domain": item["domain"], "candidate_employee_count": item["employee_count"], "candidate_industries_json": dump(list(item["industries"])),
+        "match_features_json": dump(f), "match_score": score, "confidence_label": label, "decision": decision, "error_code": "domain_conflict" if f["domain_conflict"] else "",
+        "error_message": "Official-domain candidate conflicts with provider website." if f["domain_conflict"] else "", "raw_payload_json_private": item["payload"],
+    }
+
+
+def assign_greedily(companies: DataFrame, items: DataFrame, least: float = 0.4, observed_at: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """A row of evidence for each company: companies in order take the best item that is left in their batch, from `least` on.
+
+    companies: batch, company, company_key, name, domains. items: batch, item, id, name, universal_name, website,
+    linkedin_url, employee_count, industries. A batch is one request of a bounded number of companies, and is the
+    group. Only pairs whose names or domains are related are scored: without either, no score is over 0.25.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for company, own in g.sort_values(["company", "item"]).groupby("company", sort=True):
-            own = own[~own["item"].isin(taken) & (own["score"] >= least)]
-            if len(own):
-                best = own.loc[own["score"].idxmax()]  # the first of the best
-                taken.add(best["item"])
-                out.append((best["batch"], company, best["item"], best["score"]))
-        return pd.DataFrame(out, columns=["batch", "company", "item", "score"])
-
-    return pairs.groupBy("batch").applyInPandas(run, "batch long, company long, item long, score double")
+    columns = [c.split()[0] for c in EVIDENCE.replace("\n", " ").split(", ")]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found, out = right.sort_values("item").to_dict("records"), []
+        taken = [False] * len(found)
+        for company in left.sort_values("company").to_dict("records"):
+            own, official = company["name_key"], company["domains"]
+            best, top = None, -1.0
+            for i, item in enumerate(found):
+                ck, dom = item["name_key"], item["domain"]
+                if taken[i] or not (own and (own == item["universal_key"] or (ck and (own in ck or ck in own))) or dom and any(d and (dom.endswith(d) or d.endswith(dom)) for d in official)):
+                    continue
+                score = match_score(match_features(company, item))
+                if score > top:  # the first of the best
+                    best, top = i, score
+            if best is not None and top >= least:
+                taken[best] = True
+                out.append(evidence_row(company, found[best], observed_at))
+            else:
+                out.append(evidence_row(company, None, observed_at))
+        return pd.DataFrame([[r.get(c) for c in columns] for r in out], columns=columns, dtype=object).astype({"item": "Int64"})
+
+    text = lambda c: T.clean(F.col(c)).alias(c)
+    host = F.lower(T.domain(T.clean(F.col("website"))))
+    payload = F.to_json(F.struct("id", "name", "universal_name", "website", "linkedin_url", "employee_count", "industries"))
+    domains = F.filter(F.transform(F.coalesce("domains", F.array().cast("array<string>")), lambda d: F.lower(T.clean(d))), lambda d: d != "")
+    left = companies.select("batch", "company", text("company_key"), text("name"), T.key(F.col("name")).alias("name_key"), domains.alias("domains"))
+    right = items.select(
+        "batch", "item", *[text(c) for c in ("id", "name", "universal_name", "website", "linkedin_url", "employee_count")], T.key(F.col("name")).alias("name_key"), T.key(F.replace("universal_name", F.lit("-"), F.lit(" "))).alias("universal_key"),
+        host.alias("domain"), F.coalesce("industries", F.array().cast("array<string>")).alias("industries"), payload.alias("payload"),
+    )
+    return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInPandas(run, EVIDENCE)
 
 
 @query("greedy_assignment")
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-06, SID-17: each company of a batch gets at most one item. Tests hold it against a sequential run."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company"), (F.col("s_suppkey") % 7).alias("batch"))
-    i = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), (F.col("p_partkey") % 7).alias("batch")).where("item % 11 = 0")
-    score = F.pmod(F.xxhash64("company", "item"), F.lit(1000)) / 1000.0
-    return assign_greedily(s.join(i, "batch").withColumn("score", score).where("score >= 0.4"))
+    """JON-06, SID-17: each company of a request gets at most one of the items that came back, as a row of evidence.
+
+    Suppliers are the companies, BATCH of them a request; every part is an item that came back for one of them, with
+    a name, an address and details that agree with it more or less. Tests hold it against a sequential run.
+    """
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("company"), "s_name")
+    batch = F.floor(F.col("company") / BATCH).alias("batch")
+    site = F.regexp_replace(F.lower("s_name"), "[^a-z0-9]", "")
+    domains = F.when(F.col("company") % 4 == 0, F.array().cast("array<string>")).when(F.col("company") % 4 == 1, F.array(F.concat(F.lit("careers."), site, F.lit("-hr.net")))).otherwise(F.array(F.concat(site, F.lit(".com"))))
+    companies = s.select(batch, "company", T.key(F.col("s_name")).alias("company_key"), F.col("s_name").alias("name"), domains.alias("domains"))
+    n = s.count()
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item"), "p_name", "p_brand", "p_type", "p_size")
+    p = p.withColumn("company", F.pmod("item", F.lit(max(n, 1)))).join(s, "company")  # keys are 0 to n - 1
+    kind = F.floor(F.col("item") / max(n, 1)) % 5
+    name = F.when(kind == 0, F.concat("s_name", F.lit(" Holdings"))).when(kind.isin(1, 3), F.col("s_name")).otherwise(F.col("p_name"))
+    address = F.when(kind == 3, F.concat(F.lit("https://"), F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), F.lit(".org"))).when(F.col("item") % 7 == 0, None).otherwise(F.concat(F.lit("http://www."), site, F.lit(".com/about")))
+    linked = F.when(F.col("item") % 3 != 0, F.concat(F.lit("https://www.linkedin.com/company/"), F.col("item").cast("string")))
+    items = p.select(
+        batch, "item", F.col("item").cast("string").alias("id"), name.alias("name"), F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-").alias("universal_name"), address.alias("website"), linked.alias("linkedin_url"),
+        F.when(F.col("item") % 5 != 0, F.col("p_size").cast("string")).alias("employee_count"), F.when(F.col("item") % 2 == 0, F.split("p_type", " ")).alias("industries"),
+    )
+    return assign_greedily(companies, items)
 
 
 @query("embedding_components")
