@@ -1,6 +1,6 @@
 """Importing this registers the queries of all operators."""
 
-from millrace.operators import filings, ingest, postings, ranking, retrieval, selection, sidecars
+from millrace.operators import filings, ingest, postings, ranking, retrieval, search, selection, sidecars
 from millrace.streaming import events
 
-__all__ = ["events", "filings", "ingest", "postings", "ranking", "retrieval", "selection", "sidecars"]
+__all__ = ["events", "filings", "ingest", "postings", "ranking", "retrieval", "search", "selection", "sidecars"]

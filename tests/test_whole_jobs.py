@@ -1,9 +1,16 @@
 """Operators that once did a part of their job, against plain sequential runs of the whole."""
 
 import json
+import math
 import random
+import re
+from collections import Counter
 
-from millrace.operators import sidecars
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions import rules
+from millrace.operators import search, sidecars
 
 AUX = ("audition", "auditions", "survey", "surveys", "culture", "assessment", "assessments", "recruiting", "recruitment", "careers", "jobs")
 
@@ -72,3 +79,36 @@ def test_greedy_assignment_takes_every_company_and_item(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
     assert sorted(r.company for r in got) == list(range(n)) and any(r.item is not None and r.item % 11 for r in got)
     assert len({r.item for r in got if r.item is not None}) == sum(r.item is not None for r in got)
+
+
+def grams(text):
+    words = [w for w in re.findall(r"\b\w\w+\b", (text or "").lower()) if w not in rules.STOP_WORDS]
+    return Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+
+
+def brute_vectors(rows, features):
+    counts = {i: grams(t) for i, t in rows}
+    df = Counter(t for c in counts.values() for t in c)
+    tf = sum(counts.values(), Counter())
+    terms = sorted((t for t in df if df[t] >= 2), key=lambda t: (-tf[t], t))[:features]
+    raw = {i: {t: c[t] * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t in terms if c[t]} for i, c in counts.items()}
+    return {i: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()} for i, v in raw.items()}
+
+
+@pytest.mark.parametrize(("features", "hot"), [(20_000, 1024), (20_000, 20), (150, 40)])
+def test_tfidf_search_is_brute_force(spark, features, hot):
+    rng = random.Random(6)
+    words = ["the", "of", "naïve", "x", *[f"w{i}" for i in range(60)]]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for i in range(300)]
+    rows += [(300 + i, rows[50][1]) for i in range(15)] + [(350, None), (400, ""), (401, "The OF"), (450, rows[3][1].upper())]
+    v = brute_vectors(rows, features)
+    want = []
+    for q in (i for i, _ in rows if i % 50 == 0):
+        scores = {d: round(sum(x * v[d].get(t, 0) for t, x in v[q].items()), 6) for d in v if d != q}
+        want += [(q, d, s, k + 1) for k, (d, s) in enumerate(sorted(((d, s) for d, s in scores.items() if s > 0), key=lambda x: (-x[1], x[0]))[:10])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in search.search(df, F.col("doc_id") % 50 == 0, features=features, block=3, hot=hot).collect()]
+    assert {r[0] for r in got} == {r[0] for r in want} and len(got) == len(want)
+    by_place = lambda rows: sorted(rows, key=lambda r: (r[0], r[3]))
+    for a, b in zip(by_place(got), by_place(want)):
+        assert (a[0], a[1], a[3]) == (b[0], b[1], b[3]) and abs(a[2] - b[2]) < 2e-6
