@@ -84,9 +84,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame; its tables are bound to the statement, not to the catalog."""
+def view(spark: SparkSession, sf_dir: str, name: str, counted: bool = False) -> DataFrame:
+    """A derived view as a DataFrame; its tables are bound to the statement, not to the catalog.
+
+    counted: documents are counted beforehand, as Spark can't shuffle by a key that holds a subquery.
+    """
     text = _TEXT[name]
+    if counted:
+        text = text.replace("(SELECT count(*) FROM documents)", str(table(spark, sf_dir, "documents").count()))
     bound = {}
     for t in _TABLES[name]:
         bound[f"t_{t}"] = spread(table(spark, sf_dir, t)) if t == _TABLES[name][0] else table(spark, sf_dir, t)

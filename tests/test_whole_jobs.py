@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import rules
-from millrace.operators import search, sidecars
+from millrace.operators import retrieval, search, sidecars
 
 AUX = ("audition", "auditions", "survey", "surveys", "culture", "assessment", "assessments", "recruiting", "recruitment", "careers", "jobs")
 
@@ -112,3 +112,37 @@ def test_tfidf_search_is_brute_force(spark, features, hot):
     by_place = lambda rows: sorted(rows, key=lambda r: (r[0], r[3]))
     for a, b in zip(by_place(got), by_place(want)):
         assert (a[0], a[1], a[3]) == (b[0], b[1], b[3]) and abs(a[2] - b[2]) < 2e-6
+
+
+def brute_occurrences(rows, policy):
+    alone, out = set("abcdefghijklmnopqrstuvwxyz0123456789+#."), []
+    for job, title, raw, text in rows:
+        for field, t in (("title", title), ("raw_skills", raw), ("description_text", text)):
+            if not t or field == "description_text" and (policy == "never" or policy == "when_no_source_skills" and raw):
+                continue
+            low = t.lower()
+            for k in rules.SKILLS:
+                at = low.find(k)
+                while at >= 0:
+                    end = at + len(k)
+                    if (at == 0 or low[at - 1] not in alone) and (end == len(low) or low[end] not in alone):
+                        out.append((job, field, k, at, end, t[max(0, at - 20) : end + 20].strip()))
+                    at = low.find(k, at + 1)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("policy", ["always", "when_no_source_skills", "never"])
+def test_skill_occurrences(spark, policy):
+    rng = random.Random(3)
+    bits = [*rules.SKILLS, "SQL", "Kafka,", "mysql", "sqlx", "c++", "java", "javascript", "PySpark", "spark.", "é", "and", "(docker)"]
+    rows = [(i, " ".join(rng.choices(bits, k=3)), rng.choice(["", None, "sql|aws|sql"]), " ".join(rng.choices(bits, k=rng.randrange(60)))) for i in range(80)]
+    rows.append((80, "sql sql SQL", None, "mlops, Kafka and kafka; mysql"))
+    spans = retrieval.occurrences(retrieval.field_inputs(spark.createDataFrame(rows, "job_id long, title string, raw_skills string, description_text string"), policy))
+    got = sorted(tuple(r) for r in spans.collect())
+    assert got == brute_occurrences(rows, policy)
+    assert {g[2] for g in got} == set(rules.SKILLS)
+    for r in retrieval.occurrence_manifest(spans, len(rows)).collect():
+        own = [g for g in got if g[2] == r.skill]
+        ids = sorted({g[0] for g in own})
+        assert (r.n, r.jobs, r.samples) == (len(own), len(ids), "|".join(map(str, ids[:5]))) and abs(r.mean_start - sum(g[3] for g in own) / len(own)) < 1e-3
+        assert abs(r.coverage - len(ids) / len(rows)) < 1e-6 and r.fields == "|".join(sorted(f"{f}={c}" for f, c in Counter(g[1] for g in own).items()))
