@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, on shingles of five words at 85 %, one stays."""
-    return drop_near_duplicates(docs, k=5, percent=85)
+    """Of near-duplicates, on shingles of five words at 80 %, one stays."""
+    return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,3 +146,23 @@ def test_skill_occurrences(spark, policy):
         ids = sorted({g[0] for g in own})
         assert (r.n, r.jobs, r.samples) == (len(own), len(ids), "|".join(map(str, ids[:5]))) and abs(r.mean_start - sum(g[3] for g in own) / len(own)) < 1e-3
         assert abs(r.coverage - len(ids) / len(rows)) < 1e-6 and r.fields == "|".join(sorted(f"{f}={c}" for f, c in Counter(g[1] for g in own).items()))
+
+
+def test_pipeline_drops_pairs_between_80_and_85_percent(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(7)
+    rows, shares = [], []
+    for k in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        copy = list(words)
+        copy[30], copy[70] = f"e{k}", f"f{k}"
+        apart = list(words)
+        for at in (15, 30, 45, 60, 75):
+            apart[at] = f"g{k}x{at}"
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(copy)), (3 * k + 2, " ".join(apart))]
+        sets = [{tuple(w[i : i + 5]) for i in range(96)} for w in (words, copy, apart)]
+        shares += [len(sets[0] & sets[1]) / len(sets[0] | sets[1]), *(len(s & sets[2]) / len(s | sets[2]) for s in sets[:2])]
+    assert all(0.8 <= s < 0.85 for s in shares[::3]) and all(s < 0.8 for i, s in enumerate(shares) if i % 3)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, _ in rows if i % 3 != 1]
