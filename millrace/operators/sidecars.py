@@ -76,7 +76,7 @@ e1 AS (SELECT a, avg(y - m) AS e FROM r CROSS JOIN m GROUP BY a), e2 AS (SELECT
 SELECT 'years' AS feature, CAST(a AS VARCHAR) AS bin, round(e, 6) AS effect FROM e1 UNION ALL SELECT 'company_type', b, round(e, 6) FROM e2
 """)
 def additive_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RNK-18, FEA-33: one cycle of an additive model over bins, each feature fitted to what the others leave."""
+    """FEA-33: one cycle over two features' bins, each fitted to what the other leaves; no row is scored."""
     r = view(spark, sf_dir, "postings").where("salary_max is not null").select((F.col("salary_max") / 100000.0).alias("y"), F.floor(F.coalesce("years_required", F.lit(0)) / 3).cast("int").alias("a"), F.col("company_type").alias("b"))
     r = r.crossJoin(F.broadcast(r.agg(F.avg("y").alias("m"))))
     e1 = r.groupBy("a").agg(F.avg(F.col("y") - F.col("m")).alias("e"))  # a row a bin
