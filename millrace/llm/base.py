@@ -50,6 +50,25 @@ def inner_action(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's limit of an Arrow batch, by bytes, unless it has one: whole texts go to Python in what is
+    planned after an operator has returned, too."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, _INNER[name])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once into the shared folder and carry on from there; survives lost executors."""
     spark = df.sparkSession

@@ -1,11 +1,11 @@
-"""Near-duplicates by b-bit MinHash, confirmed on full shingle sets.
+"""Near-duplicates by b-bit MinHash, confirmed on the words of full shingle sets.
 
 1. Documents with one and the same shingle set form a class; only classes go on.
 2. Each class has 224 minima: 36 bands of 6 name its buckets, and the low 4 bits of each minimum are packed into
    14 integers. In a bucket every class pairs with the bucket's smallest one only.
 3. Packed signatures are compared by bit counts; the estimate is corrected for chance collisions (a 16th) and a
    pair goes on unless it is more than 5 standard deviations below the threshold.
-4. Pairs are confirmed on the sets, and links joined into components.
+4. Pairs are confirmed on their shingles, word by word, and links joined into components.
 5. Buckets that still hold several components are gone through whole, in blocks: classes of different components
    are compared by bit counts and, where they pass, confirmed on the spot; only links leave the task. Thus pairs
    inside a component cost nothing, no pair that shares a bucket and could still join two components is left
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import cut, join_checked, lookup, text_or_empty
+from millrace.llm.base import bounded_batches, cut, fresh, join_checked, lookup, text_or_empty
 
 BANDS, ROWS, LANES, BITS = 36, 6, 224, 4
 SIGMAS = 5
@@ -76,9 +76,8 @@ def matches(a: str, b: str) -> Column:
 def _sets(texts: list[str], k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     from millrace.llm.wordhash import chunks, shingles
 
-    lowered = [t.encode().lower() for t in texts]  # bytes.lower() changes A-Z only
-    for lo, hi in chunks(lowered):
-        yield lo, shingles(lowered[lo:hi], k)
+    for lo, hi in chunks(texts):
+        yield lo, shingles(texts[lo:hi], k, lower=True)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -101,8 +100,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n_shingles long, fp binary, bands array<long>, sig array<long>")
 
 
-def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """node, set (sorted fingerprints, as bytes) of the nodes, from the text of one document each."""
+def _words_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, words (in lower case, joined by one blank) of the nodes, from the text of one document each."""
     need = cut(nodes.join(classes.select("node", "id", "fp"), "node"))
     ids = need.select(F.col("id").alias("wanted")).distinct()
     texts = join_checked(docs, ids, docs["id"].eqNullSafe(F.col("wanted")), "left_semi")
@@ -111,31 +110,43 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> D
         import xxhash
 
         for batch in batches:
-            for _, sets in _sets(batch["text"].tolist(), k):
-                data = [s.tobytes() for s in sets]
-                yield pd.DataFrame({"fp": [xxhash.xxh128_digest(d) for d in data], "set": data})
+            said = batch["text"].tolist()
+            for lo, sets in _sets(said, k):
+                own = [b" ".join(t.encode().lower().split()).decode() for t in said[lo : lo + len(sets)]]  # bytes.lower() changes A-Z only
+                yield pd.DataFrame({"fp": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "words": own})
 
-    found = texts.select("text").mapInPandas(run, "fp binary, set binary").join(need.select("fp", "node"), "fp").dropDuplicates(["node"])
-    return cut(found.select("node", "set"))
+    found = texts.select("text").mapInPandas(run, "fp binary, words string").join(need.select("fp", "node"), "fp").dropDuplicates(["node"])
+    return cut(found.select("node", "words"))
 
 
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = np.intersect1d(x, y, assume_unique=True).size
+def _shingle_set(said: str, k: int) -> set[tuple[str, ...]]:
+    words = said.split(" ")
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)}
+
+
+def _similar(x: set | np.ndarray, y: set | np.ndarray, percent: int) -> bool:
+    """On shingles themselves, or on sorted hashes of them."""
+    both = len(x & y) if isinstance(x, set) else np.intersect1d(x, y, assume_unique=True).size
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose full sets are similar enough."""
+    """Of pairs (a, b) of nodes, those whose full sets of shingles are similar enough."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = _sets_of(nodes, classes, docs, k)
+    found = _words_of(nodes, classes, docs, k)
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [_similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(batch["x"], batch["y"], strict=True)]
-            yield batch.loc[keep, ["a", "b"]]
-
-    with_b = pairs.join(found.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    with_both = with_b.join(found.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+            keep, last, y = [], None, set()
+            by_head = batch.sort_values("b", kind="stable")
+            for b, said, other in zip(by_head["b"], by_head["y"], by_head["x"], strict=True):
+                if b != last:
+                    last, y = b, _shingle_set(said, k)
+                keep.append(_similar(_shingle_set(other, k), y, percent))
+            yield by_head.loc[keep, ["a", "b"]]
+
+    with_b = pairs.join(found.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+    with_both = with_b.join(found.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
     return cut(with_both.mapInPandas(similar, "a long, b long"))
 
 
@@ -212,8 +223,8 @@ def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: Data
     """Links (a, b) between classes that share a bucket and are in different components so far.
 
     Buckets with several components are gone through whole, in blocks. A first pass over packed signatures finds the
-    classes with a pair that may link; a second has their full sets at hand and confirms on the spot, so that only
-    links leave a task, and of these none between what the task has joined before.
+    classes with a pair that may link; a second has their words at hand and confirms on the spot (hashes of shingles
+    first, then the shingles), so that only links leave a task, and of these none between what it has joined before.
     """
     lab = cut(members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     several = lab.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
@@ -233,21 +244,23 @@ def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: Data
 
     def links(g: pd.DataFrame) -> pd.DataFrame:
         pairs, node, out = _Pairs(g, percent), g["node"].to_numpy(), []
-        full = [np.frombuffer(s, dtype=np.uint64) for s in g["set"]]
+        said = g["words"].tolist()
+        full = [s for _, sets in _sets(said, k) for s in sets]
         for r in range(len(g) - 1):
             for q in pairs.of(r).tolist():
-                if pairs.part[q] != pairs.part[r] and _similar(full[r], full[q], percent):
+                if pairs.part[q] != pairs.part[r] and _similar(full[r], full[q], percent) and _similar(_shingle_set(said[r], k), _shingle_set(said[q], k), percent):
                     out.append((int(node[r]), int(node[q])))
                     pairs.part[pairs.part == pairs.part[q]] = pairs.part[r]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     left = cut(_by_group(rows.join(signed, "node"), open_rows, _ROW))
-    sets = _sets_of(left.select("node").distinct(), classes, docs, k)
-    return _by_group(left.join(sets, "node").join(signed, "node"), links, "a long, b long").distinct()
+    said = _words_of(left.select("node").distinct(), classes, docs, k)
+    return _by_group(left.join(said, "node").join(signed, "node"), links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union."""
+    bounded_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = cut(signatures(plain, k))
     full = rows.where("fp is not null")
@@ -274,7 +287,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85) -> DataFrame:
-    """docs with one document of each component, all columns as they were."""
-    gone = cut(near_duplicates(docs, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias("_id")).distinct())
-    return join_checked(docs, gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, all columns as they were.
+
+    Texts without words stay, and so do rows without an id that are alike to none; rows that share the id of a
+    document that goes, go with it; rows that repeat whole stay together; an empty table stays empty.
+    """
+    (own,) = fresh(docs, "gone_id")
+    gone = cut(near_duplicates(docs, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias(own)).distinct())
+    return join_checked(docs, gone, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")

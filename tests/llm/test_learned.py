@@ -84,7 +84,7 @@ def brute_components(rows):
 
 def test_near_duplicates(spark):
     rows = near_rows()
-    found = minhash.near_duplicates(docs_of(spark, rows).withColumn("node", F.lit(1)).withColumn("fp", F.lit("x"))).collect()
+    found = minhash.near_duplicates(docs_of(spark, rows).withColumn("node", F.lit(1)).withColumn("fp", F.lit("x")).withColumn("gone_id", F.lit(3)), percent=85).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
@@ -92,7 +92,7 @@ def test_near_duplicates(spark):
 
 def test_near_stage_keeps_one_of_each(spark):
     rows = [r for r in near_rows() if r[0] is not None and r[1] and r[1].split()][:-1]
-    left = minhash.drop_near_duplicates(docs_of(spark, rows))
+    left = minhash.drop_near_duplicates(docs_of(spark, rows), percent=85)
     assert left.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in brute_components(rows)})
 
@@ -142,6 +142,52 @@ def test_substrings(spark):
     assert substring.dedup_substrings(docs_of(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    """A word of n letters and its complement: polynomials modulo 2**64 can't tell them apart from 1,024 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_are_told_apart(spark, n):
+    x, y = thue_morse(n)
+    rest = " ".join(f"r{i}" for i in range(12))
+    rows = [(1, f"{x} {rest}"), (2, f"{y} {rest}")]
+    assert [r.n_removed for r in substring.dedup_substrings(docs_of(spark, rows)).orderBy("doc_id").collect()] == [0, 0]
+    assert [r.component_id for r in minhash.near_duplicates(docs_of(spark, rows), percent=85).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_substrings_with_small_parts_and_blocks(spark, monkeypatch):
+    """Keys that are too large, many blocks and parts, one hot passage, 3,000 equal rows."""
+    rng = random.Random(8)
+    hot = prose(rng, 40)
+    rows = [(i, " ".join([*prose(rng, rng.randrange(30)), *hot[rng.randrange(8) :], *prose(rng, rng.randrange(30))])) for i in range(400)]
+    rows += [(1000 + i, " ".join(["a", "b", "c", *prose(rng, 1)] * 12)) for i in range(100)] + [(77, " ".join(hot))] * 3000
+    monkeypatch.setattr(substring, "PART", 300)
+    docs = docs_of(spark, rows).repartition(3).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"), "text")
+    found = substring.repeated_windows(docs, 13, part=300, block=3000).distinct().collect()
+    plain = substring.repeated_windows(docs, 13).distinct().collect()
+    key = lambda r: (r.id, r.version, bytes(r.starts))
+    assert sorted(map(key, found)) == sorted(map(key, plain)) and len(found) > 300
+    got = sorted(map(tuple, substring.digest(substring.dedup_substrings(docs_of(spark, rows))).collect()), key=str)
+    assert got == brute_windows(rows)
+
+
+def test_deep_nodes_are_the_repeats():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 3, 4000).astype(np.int32)
+    for depth, words in ((1, 3), (5, 3), (13, 3), (13, 1 << 20), (13, 1 << 40)):
+        starts = np.arange(0, len(codes) - depth + 1, 2)
+        suffix, node = substring.deep_nodes(codes, starts, depth, words)
+        by = {}
+        for s in range(len(starts)):
+            by.setdefault(tuple(codes[starts[s] : starts[s] + depth]), []).append(s)
+        got = {}
+        for s, m in zip(suffix.tolist(), node.tolist(), strict=True):
+            got.setdefault(m, []).append(s)
+        assert sorted(map(sorted, got.values())) == sorted(v for v in by.values() if len(v) > 1)
+
+
 def test_substrings_keep_their_spans(spark):
     text = " ".join(f"a{i}" for i in range(20))
     r = {x.doc_id: x for x in substring.dedup_substrings(docs_of(spark, [(1, text), (2, f"p q {text} r")])).collect()}
