@@ -13,7 +13,8 @@ hash, about FANOUT documents each, so a source that holds most rows is spread li
 
 Defined results: a null text has size 0; documents of size 0 get their fraction rounded on their own; the null
 source is a source, the last in order; a source without words has target 0; rows that repeat are units of their
-own.
+own, numbered among themselves and dealt to leaves by that number too, so that a third of all rows may be alike; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import WORD, cut, join_checked, text_or_empty
+from millrace.llm.base import WORD, cut, fresh, join_checked, text_or_empty
 
 #: Documents in a leaf of the reduction tree. Fixed: a leaf is folded in memory.
 FANOUT = 48
@@ -57,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return by.select("source", "n", "source_size", target.alias("target"))
 
 
-_UNIT = "struct<id:bigint,size:bigint,p:double,base:bigint>"
+_UNIT = "struct<id:bigint,nth:bigint,size:bigint,p:double,base:bigint>"
 
 
 def _uniform(seed: int, *columns: str) -> str:
@@ -68,8 +69,8 @@ def _fold(items: str, seed: int) -> str:
     """SQL that folds an array of units: struct(carry, done), done with p 0 or 1. carry is the unit still open."""
     up = "least((1 - a.carry.p) * a.carry.size, x.p * x.size)"  # words that can move from x to the carried unit
     down = "least(a.carry.p * a.carry.size, (1 - x.p) * x.size)"
-    unit = lambda u, p: f"named_struct('id', {u}.id, 'size', {u}.size, 'p', {p}, 'base', {u}.base)"
-    moved = f"IF({_uniform(seed, 'a.carry.id', 'x.id', 'a.carry.p', 'x.p')} * ({up} + {down}) < {down}, {up}, -{down})"
+    unit = lambda u, p: f"named_struct('id', {u}.id, 'nth', {u}.nth, 'size', {u}.size, 'p', {p}, 'base', {u}.base)"
+    moved = f"IF({_uniform(seed, 'a.carry.id', 'a.carry.nth', 'x.id', 'x.nth', 'a.carry.p', 'x.p')} * ({up} + {down}) < {down}, {up}, -{down})"
     # s.d: words moved; the unit that reached its end is done, the other is carried on
     step = f"""transform(array(named_struct('d', {moved}, 'up', {up}, 'down', {down})), s -> CASE
         WHEN s.d > 0 AND s.up = (1 - a.carry.p) * a.carry.size THEN named_struct('done', {unit('a.carry', '1D')}, 'carry', {unit('x', 'x.p - s.d / x.size')})
@@ -83,32 +84,34 @@ def _fold(items: str, seed: int) -> str:
 
 def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, share: float = 1.0, seed: int = 17, fanout: int = FANOUT) -> DataFrame:
     """sizes: (id long, source, size long). Returns id, source, size, source_size, target, copies long."""
-    sizes = cut(sizes.select("id", "source", "size"))
+    # rows that are alike get numbers, from a count of them that is summed before the shuffle
+    alike = sizes.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(alike.select("id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")))
     targets = cut(source_targets(sizes, weights, most, share))
     on = sizes["source"].eqNullSafe(targets["source"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = join_checked(sizes, targets, on, "left").select(sizes["id"], sizes["source"], sizes["size"], "source_size", "target", "n", each.alias("x"))
+    rows = join_checked(sizes, targets, on, "left").select(sizes["id"], sizes["nth"], sizes["source"], sizes["size"], "source_size", "target", "n", each.alias("x"))
     base = F.floor(F.col("x") + EPS)
     rows = rows.withColumn("base", base.cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("x") - base)).withColumn("p", F.when(F.col("p") < EPS, 0.0).otherwise(F.col("p")))
     group = ["source", "source_size", "target"]
     pick = [*group, F.col("unit.id").alias("id"), F.col("unit.size").alias("size"), (F.col("unit.base") + F.col("unit.p").cast("long")).alias("copies")]
     alone = (F.col("size") == 0) | (F.col("p") == 0)
-    settled = rows.where(alone).select(*group, "id", "size", (F.col("base") + (F.expr(_uniform(seed + 1, "id")) < F.col("p")).cast("long")).alias("copies"))
-    unit = F.struct("id", "size", "p", "base").cast(_UNIT)
+    settled = rows.where(alone).select(*group, "id", "size", (F.col("base") + (F.expr(_uniform(seed + 1, "id", "nth")) < F.col("p")).cast("long")).alias("copies"))
+    unit = F.struct("id", "nth", "size", "p", "base").cast(_UNIT)
     level = rows.where(~alone).select(*group, unit.alias("unit"), F.ceil(F.col("n") / fanout).alias("buckets"))
     parts, depth = [settled], 0
     most_rows = targets.agg(F.max("n")).first()[0] or 0
     while True:
         depth += 1
-        leaf = F.pmod(F.expr(f"xxhash64({seed + 7 * depth}L, unit.id, unit.size)"), F.col("buckets"))
+        leaf = F.pmod(F.expr(f"xxhash64({seed + 7 * depth}L, unit.id, unit.size, unit.nth)"), F.col("buckets"))
         by = level.withColumn("leaf", leaf).groupBy(*group, "buckets", "leaf")
         # a leaf holds about fanout units; the order inside is a hash's, so that it is no partitioning's
-        gathered = by.agg(F.array_sort(F.collect_list(F.struct(F.expr(f"xxhash64({seed + depth}L, unit.id)").alias("at"), F.col("unit").alias("unit")))).alias("items")).withColumn("items", F.col("items.unit"))
+        gathered = by.agg(F.array_sort(F.collect_list(F.struct(F.expr(f"xxhash64({seed + depth}L, unit.id, unit.nth)").alias("at"), F.col("unit").alias("unit")))).alias("items")).withColumn("items", F.col("items.unit"))
         folded = cut(gathered.select(*group, "buckets", F.expr(_fold("items", seed + 100 * depth)).alias("f")))
         parts.append(folded.select(*group, F.explode("f.done").alias("unit")).select(*pick))
         rest = folded.select(*group, F.col("f.carry").alias("unit"), "buckets")
         last = rest.where(F.col("buckets") <= 1)
-        u = F.expr(_uniform(seed + 3, "unit.id", "unit.size"))
+        u = F.expr(_uniform(seed + 3, "unit.id", "unit.size", "unit.nth"))
         parts.append(last.select(*group, F.col("unit.id").alias("id"), F.col("unit.size").alias("size"), (F.col("unit.base") + (u < F.col("unit.p")).cast("long")).alias("copies")))
         most_rows = -(-most_rows // fanout)
         if most_rows <= 1:
@@ -123,14 +126,18 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: fl
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns as they were.
 
-    Rows with the same id, source and size share the copies drawn for them: evenly, and the rest by their text.
+    Rows with the same id, source and size share the copies drawn for them: evenly, and the rest by a hash of their
+    text and place. Null ids and sources are matched as such.
     """
     size = n_words(text_col)
     drawn = mix(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")), **options)
-    drawn = cut(drawn.groupBy("id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")))
-    drawn = drawn.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_n")
-    keyed = docs.withColumn("_words", size)
-    on = keyed[id_col].cast("long").eqNullSafe(F.col("_id")) & keyed[source_col].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    shared = F.floor(F.col("_copies") / F.col("_n")) + (F.pmod(F.xxhash64(text_or_empty(text_col)), F.col("_n")) < F.pmod(F.col("_copies"), F.col("_n"))).cast("long")
-    joined = join_checked(keyed, drawn, on, "inner").withColumn("_times", shared.cast("int")).where("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, of, size_, copies, n, words, times, copy = fresh(docs, "own_id", "own_source", "own_size", "copies", "n_alike", "words", "times", "copy")
+    drawn = drawn.groupBy(F.col("id").alias(own), F.col("source").alias(of), F.col("size").alias(size_)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(n))
+    drawn = cut(drawn.where(F.col(copies) > 0))
+    keyed = docs.withColumn(words, size)
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & F.col(source_col).eqNullSafe(F.col(of)) & (F.col(words) == F.col(size_))
+    # rows that are alike in id, source and size take turns by a random number of the row
+    keyed = keyed.withColumn(copy, F.xxhash64(text_or_empty(text_col), F.monotonically_increasing_id()))
+    shared = F.floor(F.col(copies) / F.col(n)) + (F.pmod(F.col(copy), F.col(n)) < F.pmod(F.col(copies), F.col(n))).cast("long")
+    joined = join_checked(keyed, drawn, on, "inner").withColumn(times, shared.cast("int")).where(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
