@@ -11,7 +11,8 @@ written under a name of its own and renamed, so a task that runs twice leaves on
 The folder must be on a file system that driver and executors mount, as memory mapping asks for.
 
 Defined results: a null text is empty, so its ids are the end id alone; null ids come first and are kept as the
-smallest int64; rows with one id are ordered by their text; an empty table gives a folder without shards.
+smallest int64; rows with one id are ordered by a hash of their text, then by the text, and may be dealt to several
+tasks, so that an id with a third of all rows is no one task's; an empty table gives a folder without shards.
 """
 
 from __future__ import annotations
@@ -76,8 +77,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
             os.remove(f"{own}.ids")
 
     with inner_action(docs.sparkSession):
-        plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_col).alias("text"))
-        dealt = plain.repartitionByRange("id").sortWithinPartitions("id", "text")
+        text = text_or_empty(text_col)
+        plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+        # rows with one id and hash are one text, but for a collision; the row's number lets ranges part them
+        dealt = plain.repartitionByRange("id", "hash", "row").sortWithinPartitions("id", "hash", "text").drop("hash", "row")
         # one small row a shard comes to the driver
         shards = sorted(tuple(r) for r in dealt.mapInPandas(shard, "name string, docs long, tokens long, dtype string").collect())
     base, listed = 0, []
