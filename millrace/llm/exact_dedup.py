@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import SPACE, cut, join_checked, lookup, text_or_empty
+from millrace.llm.base import SPACE, cut, fresh, join_checked, lookup, text_or_empty
 
 
 def normalised(text: str = "text") -> Column:
@@ -52,15 +52,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_duplicates drops, all columns as they were.
 
-    The text isn't shuffled unless over BROADCAST_ROWS rows go.
+    The text isn't shuffled unless over BROADCAST_ROWS rows go. Of rows that tie in id and text any one stays.
     """
-    found = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
-    by_key = cut(found.groupBy("_id", "_sha").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("not _kept or _n > 1"))
-    keyed = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
-    on = keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_sha"] == by_key["_sha"])
-    stay = join_checked(keyed, by_key, on, "left_anti").drop("_sha")
-    repeated = by_key.where("_kept")
+    own, sha, key, n = fresh(docs, "own_id", "own_sha", "key_sha", "times")
+    found = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias(own), F.col("text_sha256").alias(key), F.col("kept").alias("kept"))
+    by_key = found.groupBy(own, key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias(n))
+    by_key = cut(by_key.where(~F.col("kept") | (F.col(n) > 1)))
+    keyed = docs.withColumn(sha, F.sha2(normalised(text_col), 256))
+    on = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(sha) == F.col(key))
+    stay = join_checked(keyed, by_key.select(own, key), on, "left_anti").drop(sha)
+    repeated = by_key.where("kept").select(own, key)
     if repeated.isEmpty():
         return stay
-    tied = join_checked(keyed, repeated, on, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    tied = join_checked(keyed, repeated, on, "left_semi").dropDuplicates([id_col, sha]).drop(sha)
     return stay.unionByName(tied)
