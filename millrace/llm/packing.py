@@ -22,12 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import cut, text_or_empty
+from millrace.llm.base import bounded_batches, cut, fresh, text_or_empty
+from millrace.llm.tokens import CACHE_WORDS
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A document's ids and end_id, cut from its end into pieces of `capacity`; the first piece may be shorter.
 
     doc_id, piece, start, length, ids_crc32, and with with_ids the ids as little-endian bytes.
@@ -36,7 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from millrace.llm.tokens import encoder
 
-        code = encoder(path)
+        code = encoder(path, cache_words)
         for batch in batches:
             rows = []
             for doc, ids in zip(batch["id"], code.encode(batch["text"].tolist()), strict=True):
@@ -114,53 +115,55 @@ def _slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 
 def pack(found: DataFrame, capacity: int = 2048, shares: int = 10_000) -> DataFrame:
-    """found (pieces, cheap to read again) with sequence_id and offset.
+    """found (pieces, written to the shared folder, so that reading them again gives the same rows in place) with sequence_id and offset.
 
     A length with over a `shares`-th of the pieces is numbered in several shares, so at most
-    capacity + shares counts come to the driver, whatever the size.
+    capacity + shares counts come to the driver, whatever the size. Shares and ranks go by a number of the row, so
+    that rows which repeat are spread like any.
     """
     spark, columns = found.sparkSession, found.columns
+    row, share_, shares_, first_, rank_ = fresh(found, "row", "share", "n_shares", "first", "rank")
     counts = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most `capacity` rows
     total = sum(counts.values())
     if not total:
         return found.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     most = max(256, total // shares)
-    split = spark.createDataFrame([(k, -(-n // most)) for k, n in counts.items()], "length long, n_shares long")
-    # the hash is of the row, so that rows which repeat need no tie-break: they are alike
-    share = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("n_shares"))
-    spread = F.pmod(share + F.pmod(F.xxhash64("length"), F.col("n_shares")), F.col("n_shares"))
-    shared = found.join(F.broadcast(split), "length").withColumn("share", spread).drop("n_shares")
-    sizes = sorted((r[0], r[1], r[2]) for r in shared.groupBy("length", "share").count().collect())  # at most capacity + 2 * shares rows
+    split = spark.createDataFrame([(k, -(-n // most)) for k, n in counts.items()], f"length long, {shares_} long")
+    numbered = found.withColumn(row, F.monotonically_increasing_id())
+    shared = numbered.join(F.broadcast(split), "length").withColumn(share_, F.pmod(F.xxhash64(row), F.col(shares_))).drop(shares_)
+    sizes = sorted((r[0], r[1], r[2]) for r in shared.groupBy("length", share_).count().collect())  # at most capacity + 2 * shares rows
     firsts, before = [], {}
     for length, s, n in sizes:
         firsts.append((length, s, before.get(length, 0)))
         before[length] = before.get(length, 0) + n
-    firsts = spark.createDataFrame(firsts, "length long, share long, first long")
-    order = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = shared.withColumn("rank", F.row_number().over(order)).join(F.broadcast(firsts), ["length", "share"])
-    ranked = ranked.select(*columns, (F.col("rank") - 1 + F.col("first")).alias("rank"))
+    firsts = spark.createDataFrame(firsts, f"length long, {share_} long, {first_} long")
+    order = Window.partitionBy("length", share_).orderBy(row)
+    ranked = shared.withColumn(rank_, F.row_number().over(order)).join(F.broadcast(firsts), ["length", share_])
+    ranked = ranked.select(*columns, (F.col(rank_) - 1 + F.col(first_)).alias(rank_))
     slots = spark.sparkContext.broadcast(_slots(best_two_fit(counts, capacity)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = slots.value
         keys = table[:, 0] * (1 << 48) + table[:, 1]
         for batch in batches:
-            rank, length = batch["rank"].to_numpy(), batch["length"].to_numpy()
+            rank, length = batch[rank_].to_numpy(), batch["length"].to_numpy()
             row = table[np.searchsorted(keys, length * (1 << 48) + rank, "right") - 1]
             nth = rank - row[:, 1]
-            yield batch.drop(columns="rank").assign(sequence_id=row[:, 3] + nth // row[:, 2], offset=row[:, 4] + nth % row[:, 2] * length)
+            yield batch.drop(columns=rank_).assign(sequence_id=row[:, 3] + nth // row[:, 2], offset=row[:, 4] + nth % row[:, 2] * length)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
     fixed = [f.name for f in found.schema if f.dataType.simpleString() == "bigint"]
 
     def run(batches):
-        return place(b.astype(dict.fromkeys(fixed, "Int64")).astype({"rank": "int64", "length": "int64"}) for b in batches)
+        return place(b.astype(dict.fromkeys(fixed, "Int64")).astype({rank_: "int64", "length": "int64"}) for b in batches)
 
     return ranked.mapInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    return pack(cut(pieces(docs, path, capacity, end_id, with_ids=with_ids)), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """pieces of docs with sequence_id and offset; other columns of docs play no part."""
+    bounded_batches(docs.sparkSession)
+    return pack(cut(pieces(docs, path, capacity, end_id, with_ids=with_ids, cache_words=cache_words)), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

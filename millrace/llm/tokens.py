@@ -20,14 +20,20 @@ _ODD = re.compile("[" + "".join(map(chr, (1, *range(0x1C, 0x20), 0x85, 0xA0, 0x1
 _UNEVEN = re.compile(r"[\t\r\f\v]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 _SEGMENTS = re.compile(r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
 _TOGETHER = 128
+CACHE_WORDS, TEXT = 500_000, 16
 
 
 class Encoder:
-    """cache_words bounds the words remembered between batches."""
+    """About 2 * cache_words words are remembered, and those of one batch; texts of TEXT characters for each of
+    cache_words are looked at together. So cache_words bounds the memory and is traded for time."""
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import os
 
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back that a batch no longer needs
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,6 +44,7 @@ class Encoder:
         if self.kind == "spaceless" and len(self._whole(["\x01"])[0]) != 1:
             self.kind = "other"
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     @staticmethod
@@ -58,18 +65,32 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as bytes."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
+        if len(self.cache) > self.cache_words:  # words that are met again come back from the older half
+            self.older, self.cache = self.cache, {}
         get = self.cache.get
         found = [get(w) for w in words]
         missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
         if not missing:
             return found
-        alone = [w for w in missing if _ODD.search(w) or "\n" in w or w.isspace() or not w]
-        odd = set(alone)
+        get = self.older.get
+        again = [get(w) for w in missing]
+        self.cache.update((w, ids) for w, ids in zip(missing, again, strict=True) if ids is not None)
+        self._learn([w for w, ids in zip(missing, again, strict=True) if ids is None])
+        get = self.cache.get
+        return [get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        alone, rest = [], []
+        for k in range(0, len(words), _TOGETHER):
+            some = words[k : k + _TOGETHER]
+            if _ODD.search("".join(some)):
+                alone += [w for w in some if _ODD.search(w)]
+                some = [w for w in some if not _ODD.search(w)]
+            rest += some
+        alone += [w for w in rest if not w or w.isspace()]
+        rest = [w for w in rest if w and not w.isspace()]
         for w, ids in zip(alone, self._whole(alone), strict=True):
             self.cache[w] = ids.tobytes()
-        rest = [w for w in missing if w not in odd]
         mark = int(self._whole(["\x01" if self.kind == "spaceless" else "\n"])[0][0])
         groups = [rest[i : i + _TOGETHER] for i in range(0, len(rest), _TOGETHER)]
         for k in range(0, len(groups), 256):
@@ -82,8 +103,6 @@ class Encoder:
                 for w, hi in zip(group, [*at.tolist(), len(ids)], strict=True):
                     self.cache[w] = data[lo * size : hi * size]
                     lo = hi + 1
-        get = self.cache.get
-        return [get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
 
     def _even(self, texts: list[str]) -> list[np.ndarray]:
         import pyarrow as pa
@@ -136,7 +155,7 @@ class Encoder:
                 even.append(i)
             if even and even[-1] == i:
                 chars += len(text)
-            if chars > 8_000_000:
+            if chars > TEXT * self.cache_words:
                 self._fill(out, even, texts)
                 even, chars = [], 0
         self._fill(out, even, texts)
@@ -148,11 +167,12 @@ class Encoder:
                 out[i] = ids
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """One per file and Python worker; its memory of words lasts as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, cache_words)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, cache_words)
+    return _ENCODERS[key]
