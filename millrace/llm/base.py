@@ -50,6 +50,12 @@ def inner_action(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """The folder, on whatever file system it is, with all that is in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []
