@@ -67,42 +67,44 @@ class Encoder:
         """Ids of each word, as bytes."""
         if len(self.cache) > self.cache_words:  # words that are met again come back from the older half
             self.older, self.cache = self.cache, {}
-        get = self.cache.get
-        found = [get(w) for w in words]
-        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        if not missing:
-            return found
-        get = self.older.get
-        again = [get(w) for w in missing]
-        self.cache.update((w, ids) for w, ids in zip(missing, again, strict=True) if ids is not None)
-        self._learn([w for w, ids in zip(missing, again, strict=True) if ids is None])
-        get = self.cache.get
-        return [get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
-
-    def _learn(self, words: list[str]) -> None:
+        found = list(map(self.cache.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing and self.older:
+            get, put = self.older.get, self.cache
+            for i in missing:
+                if (ids := get(words[i])) is not None:
+                    put[words[i]] = found[i] = ids
+            missing = [i for i in missing if found[i] is None]
+        own = [words[i] for i in missing]
+        for i, ids in zip(missing, self._learn(own), strict=True):
+            found[i] = ids
+        self.cache.update(zip(own, (found[i] for i in missing), strict=True))
+        return found
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        out: list[bytes] = [b""] * len(words)
         alone, rest = [], []
         for k in range(0, len(words), _TOGETHER):
-            some = words[k : k + _TOGETHER]
-            if _ODD.search("".join(some)):
-                alone += [w for w in some if _ODD.search(w)]
-                some = [w for w in some if not _ODD.search(w)]
-            rest += some
-        alone += [w for w in rest if not w or w.isspace()]
-        rest = [w for w in rest if w and not w.isspace()]
-        for w, ids in zip(alone, self._whole(alone), strict=True):
-            self.cache[w] = ids.tobytes()
-        mark = int(self._whole(["\x01" if self.kind == "spaceless" else "\n"])[0][0])
+            odd = _ODD.search("".join(words[k : k + _TOGETHER]))
+            for i in range(k, min(k + _TOGETHER, len(words))):
+                w = words[i]
+                (alone if not w or w.isspace() or odd and _ODD.search(w) else rest).append(i)
+        for i, ids in zip(alone, self._whole([words[i] for i in alone]), strict=True):
+            out[i] = ids.tobytes()
+        mark, size = int(self._whole(["\x01" if self.kind == "spaceless" else "\n"])[0][0]), self.dtype.itemsize
         groups = [rest[i : i + _TOGETHER] for i in range(0, len(rest), _TOGETHER)]
         for k in range(0, len(groups), 256):
             some = groups[k : k + 256]
-            for group, ids in zip(some, self._whole([self.separator.join(g) for g in some]), strict=True):
+            for group, ids in zip(some, self._whole([self.separator.join([words[i] for i in g]) for g in some]), strict=True):
                 at = np.flatnonzero(ids == mark)
                 assert len(at) == len(group) - 1, "separator found inside a word"
-                data, size = ids.tobytes(), self.dtype.itemsize
-                lo = 0
-                for w, hi in zip(group, [*at.tolist(), len(ids)], strict=True):
-                    self.cache[w] = data[lo * size : hi * size]
-                    lo = hi + 1
+                data, lo = ids.tobytes(), 0
+                for i, hi in zip(group, [*(at * size).tolist(), len(data)], strict=True):
+                    out[i] = data[lo:hi]
+                    lo = hi + size
+        return out
 
     def _even(self, texts: list[str]) -> list[np.ndarray]:
         import pyarrow as pa
@@ -115,23 +117,25 @@ class Encoder:
             lists = pc.split_pattern(pc.replace_substring(array, pattern="\n", replacement=" \n "), pattern=" ")
         ends = np.asarray(lists.offsets)
         coded = lists.flatten().dictionary_encode()
-        codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        codes, different = np.asarray(coded.indices), coded.dictionary
         if self.kind == "bytes":  # a word has the blank before it with it, unless it begins a line
-            line = words.index("\n") if "\n" in words else -1
+            line = pc.index(different, pa.scalar("\n", pa.large_string())).as_py()
             blank = np.ones(len(codes), dtype=bool)
             blank[ends[:-1][ends[:-1] < len(codes)]] = False
             feed = codes == line
             blank[feed] = False
             blank[1:][feed[:-1]] = False
-            both = codes.astype(np.int64) * 2 + blank
-            used = np.flatnonzero(np.bincount(both, minlength=2 * len(words)))
-            place = np.zeros(2 * len(words), dtype=np.int64)
+            both = codes * 2 + blank
+            used = np.flatnonzero(np.bincount(both, minlength=2 * len(different)))
+            place = np.zeros(2 * len(different), dtype=np.int32)
             place[used] = np.arange(len(used))
-            codes, words = place[both], [" " + words[u >> 1] if u & 1 else words[u >> 1] for u in used.tolist()]
-        ids = self._words(words)
-        flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
-        sizes = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
-        starts = np.cumsum(sizes) - sizes
+            codes, plain = place[both], used & 1 == 0
+            blanks = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), different, pa.scalar(" ", pa.large_string()))
+            different = pc.if_else(pa.array(plain), different.take(pa.array(used >> 1)), blanks.take(pa.array(used >> 1)))
+        ids = pa.array(self._words(different.to_pylist()), pa.large_binary())
+        places = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1) // self.dtype.itemsize
+        flat = np.frombuffer(ids.buffers()[2], dtype=self.dtype, count=places[-1]) if places[-1] else np.zeros(0, dtype=self.dtype)
+        starts, sizes = places[:-1], np.diff(places)
         each = sizes[codes]
         after = np.cumsum(each)
         out = flat[np.repeat(starts[codes] - (after - each), each) + np.arange(after[-1] if len(after) else 0)]
@@ -142,14 +146,20 @@ class Encoder:
         """Ids of each text, without special tokens."""
         if self.kind == "other":
             return self._whole(texts)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         out: list[np.ndarray | None] = [None] * len(texts)
         even, chars = [], 0
+        if self.kind == "bytes":
+            array = pa.array(texts, type=pa.large_string())
+            odd, uneven = (pc.match_substring_regex(array, p).to_pylist() for p in (_ODD.pattern, _UNEVEN.pattern.replace(r"\Z", r"\z")))
         for i, text in enumerate(texts):
             if self.kind == "spaceless":
                 even.append(i)
-            elif _ODD.search(text):
+            elif odd[i]:
                 out[i] = self._whole([text])[0]
-            elif _UNEVEN.search(text) or not text:
+            elif uneven[i] or not text:
                 out[i] = np.frombuffer(b"".join(self._words(_SEGMENTS.findall(text))), dtype=self.dtype)
             else:
                 even.append(i)
