@@ -142,16 +142,27 @@ def families(c: Column, table: dict, most: int | None = None) -> Column:
     return let(padded(c if most is None else start(c, most)), labels)
 
 
+def title_families(title: Column) -> Column:
+    """Labels of the families one of whose titles stands in the title, as written but for case."""
+    pattern = lambda label, words: "(?i)\\b(?:" + "|".join([*map(re.escape, words), *R.TITLE_PATTERNS.get(label, ())]).replace("\\ ", " ") + ")\\b"
+    return let(clean(title), lambda t: F.array_compact(F.array(*[F.when(t.rlike(pattern(label, words)), F.lit(label)) for label, words in R.TITLE_FAMILIES.items()])))
+
+
+def matching(t: Column, patterns: dict[str, str]) -> Column:
+    """Labels of the patterns that t matches, whatever the case, in their order."""
+    return F.array_compact(F.array(*[F.when(t.rlike(f"(?i){p}"), F.lit(label)) for label, p in patterns.items()]))
+
+
 def company_signals(company: Column, title: Column, kind: Column, description: Column) -> Column:
     posting = padded(F.concat_ws(" ", clean(company), clean(title), clean(kind), start(description, 2500)))
-    hits = lambda t: F.struct(within(t, R.DEFENSE).alias("defense"), within(t, R.RESEARCH_LABS).alias("labs"))
+    hits = lambda t: F.struct(within(t, R.DEFENSE).alias("defense"), within(t, R.RESEARCH_LABS).alias("labs"), phrases(company, R.SPONSOR_FRIENDLY).alias("sponsors"))
     k = F.lower(clean(kind))
 
     def signals(s: Column) -> Column:
-        lab = (F.size(s["labs"]) > 0) | (k == "research_lab")
+        lab, large = (F.size(s["labs"]) > 0) | (k == "research_lab"), (F.size(s["sponsors"]) > 0) | (k == "large_company")
         return F.struct(
-            ((F.size(s["defense"]) > 0) | (k == "defense_military")).alias("defense"), (k == "large_company").alias("large"), lab.alias("research"),
-            ((k == "large_company") | lab).alias("sponsor_friendly"), s["defense"].alias("defense_terms"),
+            ((F.size(s["defense"]) > 0) | (k == "defense_military")).alias("defense"), large.alias("large"), lab.alias("research"),
+            (large | lab).alias("sponsor_friendly"), s["defense"].alias("defense_terms"), s["sponsors"].alias("sponsor_terms"), s["labs"].alias("lab_terms"),
         )
 
     return let(let(posting, hits), signals)

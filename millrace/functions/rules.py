@@ -51,6 +51,25 @@ DEFENSE = (
     "department of defense", "dod", "defense contractor", "military", "military contractor", "federal contractor", "government contractor", "clearance",
     "security clearance", "active clearance", "top secret", "top secret sci", "ts sci", "ts/sci", "sci",
 )
+SPONSOR_FRIENDLY = (
+    "google", "amazon", "microsoft", "meta", "apple", "nvidia", "oracle", "salesforce", "ibm", "intel", "adobe", "servicenow", "indeed", "general motors",
+    "capital one", "jpmorgan", "bloomberg", "databricks", "openai", "anthropic", "deepmind",
+)
+#: Titles as patterns, where words next to each other aren't all that is asked.
+TITLE_PATTERNS = {"ml_infra": (r"ai\s*/\s*mlops engineer",)}
+WEAK_TITLES = (
+    "bi engineer", "data engineer", "devops engineer", "cloud engineer", "security support engineer", "automation engineer", "marketing engineer", "business analyst",
+    "data analyst", "python developer", "hadoop admin", "big data admin", "data labeling analyst",
+)
+GENERIC_TITLES = {
+    "devops": r"\bdevops\b", "backend": r"\bback[-\s]?end\b", "software_engineer": r"\bsoftware engineer\b", "fullstack": r"\bfull[-\s]?stack\b",
+    "java": r"\bjava (?:developer|engineer|software)\b", "cloud": r"\bcloud engineer\b", "security": r"\bsecurity (?:support )?engineer\b",
+}
+LEVELS = {
+    "senior": r"(?:\bsenior\b|\bsr\.?(?:\s|$|[-,/]))", "staff": r"\bstaff\b", "principal": r"\bprincipal\b", "lead": r"\blead\b", "manager": r"\bmanager\b", "director": r"\bdirector\b",
+    "head": r"\bhead(?:\s+of)?\b", "distinguished": r"\bdistinguished\b", "iii": r"\b(?:iii|level\s*iii|level\s*3)\b",
+}
+JUNIOR_LEVELS = {"junior": r"\b(?:junior|jr\.?|jr|entry[-\s]?level|new grad|graduate)\b", "internship": r"\b(?:intern|internship)\b"}
 RESEARCH_LABS = ("deepmind", "openai", "anthropic", "google brain", "microsoft research", "meta ai", "research lab", "ai lab")
 US_STATES = (
     "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT",

@@ -141,15 +141,19 @@ def _q_phrases(x: str, words) -> list[tuple[str, str]]:
     return [(w, f"contains(' ' || {x} || ' ', ' {' '.join(re.findall('[a-z0-9]+', w.lower()))} ')") for w in words]
 
 
+def q_title_families(x: str) -> str:
+    return q_list([(label, f"regexp_matches({x}, '(?i)\\b({'|'.join([*words, *R.TITLE_PATTERNS.get(label, ())])})\\b')") for label, words in R.TITLE_FAMILIES.items()])
+
+
 def _q_families(x: str, rules: dict) -> str:
     return q_list([(label, "(" + " OR ".join(c for _, c in _q_phrases(x, words)) + ")") for label, words in rules.items()])
 
 
-@query("features_role_families", ctes("postings") + f"SELECT job_id, {_q_families(q_key('title'), R.TITLE_FAMILIES)} AS title_families, {_q_families(q_key(_DESC(2000)), R.DESCRIPTION_FAMILIES)} AS description_families FROM postings")
+@query("features_role_families", ctes("postings") + f"SELECT job_id, {q_title_families(q_clean('title'))} AS title_families, {_q_families(q_key(_DESC(2000)), R.DESCRIPTION_FAMILIES)} AS description_families FROM postings")
 def features_role_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FEA-16, FEA-17, FEA-35's labelling."""
     p = view(spark, sf_dir, "postings")
-    return p.select("job_id", F.array_join(X.families(F.col("title"), R.TITLE_FAMILIES), "|").alias("title_families"), F.array_join(X.families(F.col("description_text"), R.DESCRIPTION_FAMILIES, 2000), "|").alias("description_families"))
+    return p.select("job_id", F.array_join(X.title_families(F.col("title")), "|").alias("title_families"), F.array_join(X.families(F.col("description_text"), R.DESCRIPTION_FAMILIES, 2000), "|").alias("description_families"))
 
 
 _POSTING_KEY = q_key(f"concat_ws(' ', company, title, company_type, {_DESC(2500)})")
@@ -157,13 +161,14 @@ _POSTING_KEY = q_key(f"concat_ws(' ', company, title, company_type, {_DESC(2500)
 
 @query("features_company_signals", ctes("postings") + f"""
 SELECT job_id, {q_list(_q_phrases(_POSTING_KEY, R.DEFENSE))} AS defense_terms,
-  ({' OR '.join(c for _, c in _q_phrases(_POSTING_KEY, R.DEFENSE))} OR company_type = 'defense_military') AS defense, company_type = 'large_company' AS large,
+  ({' OR '.join(c for _, c in _q_phrases(_POSTING_KEY, R.DEFENSE))} OR company_type = 'defense_military') AS defense, ({' OR '.join(c for _, c in _q_phrases(q_key('company'), R.SPONSOR_FRIENDLY))} OR company_type = 'large_company') AS large,
+  {q_list(_q_phrases(q_key('company'), R.SPONSOR_FRIENDLY))} AS sponsor_terms, {q_list(_q_phrases(_POSTING_KEY, R.RESEARCH_LABS))} AS lab_terms,
   ({' OR '.join(c for _, c in _q_phrases(_POSTING_KEY, R.RESEARCH_LABS))} OR company_type = 'research_lab') AS research FROM postings
 """)
 def features_company_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FEA-22."""
     p = view(spark, sf_dir, "postings").withColumn("s", X.company_signals(F.col("company"), F.col("title"), F.col("company_type"), F.col("description_text")))
-    return p.select("job_id", F.array_join("s.defense_terms", "|").alias("defense_terms"), F.col("s.defense").alias("defense"), F.col("s.large").alias("large"), F.col("s.research").alias("research"))
+    return p.select("job_id", F.array_join("s.defense_terms", "|").alias("defense_terms"), F.col("s.defense").alias("defense"), F.col("s.large").alias("large"), F.array_join("s.sponsor_terms", "|").alias("sponsor_terms"), F.array_join("s.lab_terms", "|").alias("lab_terms"), F.col("s.research").alias("research"))
 
 
 _OR = lambda x, words: "(" + " OR ".join(c for _, c in _q_phrases(x, words)) + ")"

@@ -51,6 +51,16 @@ UNION ALL SELECT 'p3', 42, 0.0, 15, 'spark|kafka|python', 'data engineer', 'star
 UNION ALL SELECT 'p4', 3, 200000.0, 8, '', 'machine learning engineer', 'internship', true, ''
 """
 
+SEEKERS = """
+SELECT 's1' AS profile_id, 'Machine Learning Engineer|Data Scientist' AS target_roles, 'ml_related|ml_infra' AS required_families, 'data_engineering' AS preferred_families, true AS strict_family,
+  'ml|mlops|ai' AS title_signals, true AS avoid_generic, true AS avoid_senior, false AS new_grad, 'sr.|staff|lead' AS senior_terms, true AS avoid_defense, 'large_company' AS preferred_types,
+  'defense_military' AS excluded_types, true AS needs_sponsorship, true AS us_only, false AS region_profile, 'United States' AS places, false AS strict_place, 90000.0 AS want_salary, false AS strict_salary,
+  'full-time' AS employment, 'Python|sklearn|SQL' AS skills
+UNION ALL SELECT 's2', 'Data Analyst', '', 'analytics_entry|bi_analytics', false, '', false, true, true, 'senior|manager|iii', false, 'research_lab|startup', '', false, false, true, 'Remote|Bay Area', true, 150000.0, true, '', 'Tableau|SQL'
+UNION ALL SELECT 's3', 'Backend Engineer|Software Engineer', 'software_backend', '', true, '', true, false, false, '', true, '', 'startup', false, false, false, 'remote|New York|London', false, 0.0, false, 'contract|part-time', ''
+UNION ALL SELECT 's4', '', '', '', false, 'data', true, true, false, '', false, '', '', true, false, false, '', false, 60000.0, false, 'full-time|contract', 'Spark|C++'
+"""
+
 DISCLOSURES = """
 SELECT l_orderkey, l_linenumber, concat(s_name, CASE s_suppkey % 3 WHEN 0 THEN ' Inc' WHEN 1 THEN ' Corporation' ELSE '' END) AS employer_name,
   CASE l_returnflag WHEN 'R' THEN 'Certified' WHEN 'A' THEN 'Certified - Withdrawn' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'Denied' ELSE 'Withdrawn' END END AS case_status,
@@ -68,9 +78,9 @@ FROM events WHERE event_type IN ('purchase', 'error', 'view')
 _SPARK_K, _DUCK_K = "get_json_object(props, '$.k')", "props::JSON->>'$.k'"
 
 _TABLES = {
-    "postings": ("orders", "customer", "nation", "region", "documents"), "disclosures": ("lineitem", "supplier", "part"), "feedback": ("events",), "profiles": (),
+    "postings": ("orders", "customer", "nation", "region", "documents"), "disclosures": ("lineitem", "supplier", "part"), "feedback": ("events",), "profiles": (), "seekers": (),
 }
-_TEXT = {"postings": POSTINGS, "profiles": PROFILES, "disclosures": DISCLOSURES, "feedback": FEEDBACK.replace("{k}", _SPARK_K)}
+_TEXT = {"postings": POSTINGS, "profiles": PROFILES, "seekers": SEEKERS, "disclosures": DISCLOSURES, "feedback": FEEDBACK.replace("{k}", _SPARK_K)}
 _DUCK = _TEXT | {"feedback": FEEDBACK.replace("{k}", _DUCK_K)}
 
 
