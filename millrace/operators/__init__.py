@@ -1,6 +1,6 @@
 """Importing this registers the queries of all operators."""
 
-from millrace.operators import filings, fit, ingest, postings, ranking, retrieval, search, selection, sidecars
+from millrace.operators import display, filings, fit, ingest, postings, ranking, records, retrieval, search, selection, sidecars
 from millrace.streaming import events
 
-__all__ = ["events", "filings", "fit", "ingest", "postings", "ranking", "retrieval", "search", "selection", "sidecars"]
+__all__ = ["display", "events", "filings", "fit", "ingest", "postings", "ranking", "records", "retrieval", "search", "selection", "sidecars"]
