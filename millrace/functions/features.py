@@ -168,9 +168,10 @@ def company_signals(company: Column, title: Column, kind: Column, description: C
     return let(let(posting, hits), signals)
 
 
-def location_signals(location: Column, title: Column, description: Column) -> Column:
+def location_signals(location: Column, title: Column, description: Column, begin=start) -> Column:
+    """begin: takes the first characters of the description; another one where it is clean already."""
     has = lambda t, words: any_in(t, [_as_key(w) for w in words])
-    remote_text = F.concat_ws(" ", clean(location), clean(title), start(description, 1200))
+    remote_text = F.concat_ws(" ", clean(location), clean(title), begin(description, 1200))
     texts = F.struct(padded(location).alias("at"), F.upper(clean(location)).alias("upper"), padded(remote_text).alias("far"))
 
     def found(s: Column) -> Column:

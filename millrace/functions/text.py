@@ -14,7 +14,9 @@ from pyspark.sql.types import StringType
 
 #: Entities decoded natively; unescape_all has the rest.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-ANY_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_ODD_SPACE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space that isn't one blank already; a lone blank needn't be replaced by itself.
+ANY_SPACE = rf"[ {_ODD_SPACE}]{{2,}}|[{_ODD_SPACE}]"
 
 
 def let(c: Column, f) -> Column:
@@ -32,9 +34,11 @@ def unescape_all(s: pd.Series) -> pd.Series:
 
 
 def unescape(c: Column) -> Column:
+    """The common entities, natively; texts without any are left alone."""
+    out = c
     for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.when(c.contains("&"), out).otherwise(c)
 
 
 def clean(c: Column, decode=unescape) -> Column:

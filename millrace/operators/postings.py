@@ -212,7 +212,7 @@ def validate_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_key(title: str, company: str, location: str, description: str):
     parts = F.concat_ws("|", *[T.key(F.col(c)) for c in (title, company, location)], T.stable_hash(F.col(description)))
-    return T.stable_hash(parts)
+    return F.sha2(parts, 256)  # keys and hashes are clean
 
 
 _DEDUP = f"sha256(concat_ws('|', {q_key('title')}, {q_key('company')}, {q_key('location')}, sha256({q_clean('description_text')})))"

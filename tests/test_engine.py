@@ -29,8 +29,7 @@ def one(spark, column, **values):
     [("a &lt;b&gt;x&lt;/b&gt; c", "a x c"), ("<p>Hi&nbsp;there</p>\n\tyou", "Hi there you"), (None, ""), ("a\0b", "a b"), ("x &amp;lt; y", "x &lt; y")],
 )
 def test_clean(spark, text, want):
-    got = one(spark, T.clean(F.col("t")), t=text)
-    assert got == want or (text and "&amp;lt;" in text and got in ("x &lt; y", "x < y"))
+    assert one(spark, T.clean(F.col("t")), t=text) == want
 
 
 def test_unescape_all(spark):
@@ -70,9 +69,8 @@ def test_features(spark):
     assert one(spark, X.employer_key(F.col("t")), t="The Company Inc") == "the"
     assert one(spark, X.employer_key(F.col("t")), t="US Services LLC") == "us services llc"
     assert one(spark, X.phrases(F.col("t"), ("ts/sci", "dod", "sci")), t="needs TS-SCI") == ["ts/sci", "sci"]
-    for t, want in (("2024-03-01", date(2024, 3, 1)), ("3/1/2024", None), ("03/01/2024", date(2024, 3, 1)), ("45000", date(2023, 3, 15)), ("01-Mar-2024", date(2024, 3, 1)), ("nope", None)):
-        got = one(spark, X.filing_date(F.col("t")), t=t)
-        assert got == want or t == "3/1/2024", t
+    for t, want in (("2024-03-01", date(2024, 3, 1)), ("03/01/2024", date(2024, 3, 1)), ("45000", date(2023, 3, 15)), ("01-Mar-2024", date(2024, 3, 1)), ("nope", None)):
+        assert one(spark, X.filing_date(F.col("t")), t=t) == want, t
     s = one(spark, X.location_signals(F.col("t"), F.lit(""), F.lit("")), t="London, ON, Canada")
     assert (s["us"], s["abroad"]) == (False, True)
     assert one(spark, X.location_signals(F.col("t"), F.lit("not remote"), F.lit("")), t="Austin, TX").asDict() == {"remote": False, "us": True, "abroad": False, "bay_area": False}
