@@ -50,8 +50,12 @@ _TERM = re.compile(r"[^\W\d_]+")
 
 
 def buckets(word: str) -> list[int]:
-    terms = [word, *(word[:n] + "*" for n in (5, 4) if len(word) >= n)]
-    return [zlib.crc32(t.encode()) % BUCKETS for t in terms]
+    crc = zlib.crc32
+    if len(word) < 4:
+        return [crc(word.encode()) % BUCKETS]
+    if len(word) < 5:
+        return [crc(word.encode()) % BUCKETS, crc((word + "*").encode()) % BUCKETS]
+    return [crc(word.encode()) % BUCKETS, crc((word[:5] + "*").encode()) % BUCKETS, crc((word[:4] + "*").encode()) % BUCKETS]
 
 
 def term_weights(inside: np.ndarray, outside: np.ndarray, n_inside: int, n_outside: int) -> np.ndarray:
@@ -78,6 +82,7 @@ class Lexicon:
 
     def __init__(self, weights: np.ndarray):
         self.weights, self.known = weights, {}
+        self.telling = (weights > 0).any(axis=0).tobytes()
 
     def features(self, text: str) -> np.ndarray:
         """WIDTH numbers a category, one after the other."""
@@ -87,12 +92,12 @@ class Lexicon:
         form = [letters / max(1, len(text)), len(words) / max(1, len(all_words)), letters / max(1, len(all_words)) / 10]
         if len(self.known) > 100_000:
             self.known.clear()
-        get, found = self.known.get, []
+        get, telling, found = self.known.get, self.telling.__getitem__, []
         for w in words:
             own = get(w)
             if own is None:
-                best = self.weights[:, buckets(w)].max(axis=1)
-                own = self.known[w] = tuple(best.tolist()) if best.any() else ()
+                at = buckets(w)
+                own = self.known[w] = tuple(self.weights[:, at].max(axis=1).tolist()) if any(map(telling, at)) else ()
             if own:
                 found.append(own)
         each = np.array(found).reshape(-1, len(self.weights))
