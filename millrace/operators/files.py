@@ -36,11 +36,11 @@ def files_manifest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.by_line(raw, manifest)
 
 
-@query("files_frozen_export", ctes("postings") + "SELECT job_id, title, company FROM postings WHERE salary_min IS NOT NULL")
+@query("files_frozen_export", ctes("postings") + "SELECT job_id, title, company FROM postings")
 def files_frozen_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-21: exported as JSON lines without the private column, and read again."""
     home = _home(spark)
-    sinks.frozen(view(spark, sf_dir, "postings").where("salary_min is not null").select("job_id", "title", "company", F.col("description_text").alias("raw_payload_json_private")), home, ("raw_payload_json_private",))
+    sinks.frozen(view(spark, sf_dir, "postings").select("job_id", "title", "company", F.col("description_text").alias("raw_payload_json_private")), home, ("raw_payload_json_private",))
     return spark.read.json(home, schema="job_id long, title string, company string, raw_payload_json_private string").where("raw_payload_json_private is null").drop("raw_payload_json_private")
 
 
