@@ -13,7 +13,7 @@ from millrace.functions import rules as R
 from millrace.functions import text as T
 from millrace.operators.fit import _HEAD, fits
 from millrace.operators.postings import _OR, q_clean, q_key
-from millrace.plans.views import ctes, table, view
+from millrace.plans.views import TEXT, ctes, once, table, view
 from millrace.registry import query
 
 
@@ -29,7 +29,8 @@ def summary_role_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FEA-21: a broad family by the title, else by the title with 1,200 characters of skills and description."""
     hint = F.substring(F.concat_ws(" ", *[F.nullif(T.clean(F.col(c)), F.lit("")) for c in ("extracted_skills", "description_text")]), 1, 1200)
     family = lambda c: X.filing_family(c, F.lit(""))
-    p = view(spark, sf_dir, "postings").select("job_id", family(F.col("title")).alias("own"), family(F.concat_ws(" ", F.col("title"), hint)).alias("far"))
+    keys = ("title", "extracted_skills", *TEXT)  # all that the family follows from
+    p = once(spark, sf_dir, *keys, own=family(F.col("title")), far=family(F.concat_ws(" ", F.col("title"), hint)))
     basis = F.when(F.col("own") != "other", "title").when(F.col("far") != "other", "title_description").otherwise("unclassified")
     return p.select("job_id", F.when(F.col("own") != "other", F.col("own")).otherwise(F.col("far")).alias("family"), basis.alias("basis"))
 
