@@ -88,11 +88,8 @@ SELECT profile_id, count(*) AS shown, count(*) FILTER (WHERE off_target) AS off_
 """)
 def summary_best_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-30: flags among a profile's best ten, and how many of them one company has at most."""
-    from millrace.functions import fit as M
-
     order = Window.partitionBy("profile_id").orderBy(F.desc(F.pmod("job_id", F.lit(101))), "job_id")
-    names = view(spark, sf_dir, "postings").select("job_id", F.col("company").alias("named"))
-    best = fits(spark, sf_dir).withColumn("too_senior", F.size(M.term_hits()) > 0).withColumn("place", F.row_number().over(order)).where("place <= 10").join(names, "job_id")
+    best = fits(spark, sf_dir).withColumn("place", F.row_number().over(order)).where("place <= 10")
     same = best.groupBy("profile_id", "named").agg(F.count(F.lit(1)).alias("n")).groupBy("profile_id").agg(F.max("n").alias("same_company"))
     flags = {
         "off_target": F.col("off_target"), "misplaced": F.col("reason").isNotNull(), "defense": F.col("firm.defense"), "remote": F.col("where.remote"), "too_senior": F.col("too_senior"),
