@@ -9,7 +9,7 @@ from millrace.functions import features as X
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["features_years_salary", "features_role_families", "features_first_match", "summary_role_basis", "dedup_live_against_offline", "fit_title_signals", "fit_role_families"])
+@pytest.mark.parametrize("name", ["features_years_salary", "features_role_families", "features_first_match", "summary_role_basis", "dedup_live_against_offline", "fit_title_signals", "fit_role_families", "fit_roles"])
 def test_text_is_read_once(spark, name):
     plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "text#" not in plan
