@@ -39,3 +39,9 @@ def labelled_sample(labels: DataFrame, label: str, each: int, id_col: str = "doc
     least = F.min(F.struct("label", *extra)).alias("own")
     own = [rows.where(F.col("label") == v).groupBy("id").agg(least).orderBy(F.xxhash64("id", F.lit(29)), "id").limit(each) for v in (0, 1)]
     return own[0].unionByName(own[1]).select("id", "own.*")
+
+
+def labelled_rows(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """id and label of every row of the two classes that isn't held out and has an id; of rows that repeat one."""
+    rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
+    return rows.where(~held_out("id") & F.col("id").isNotNull() & F.col("label").isin(0, 1)).distinct()
