@@ -7,7 +7,8 @@ the labelled rows, each counted for its part of the corpus, lies below it as has
 logistic map of the score takes the threshold to `cut` and keeps the order; its slope is fitted to the labels.
 
 The fit uses every labelled row that isn't held out. It goes through their features, which are kept in the shared
-folder, in passes that bring sums to the driver. Sums over all pairs need no pairs: a row meets the other class as sums
+folder, in passes whose sums are added up by executors; the driver gets one row a pass, however many partitions
+there are. Sums over all pairs need no pairs: a row meets the other class as sums
 at NODES of the score, between which a cubic interpolates (to some 1e-6). Every text is scored whole.
 
 Defined results: empty and null texts have all features 0 and are scored like any; rows without an id are not
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from millrace.llm.linear import held_out, labelled_rows, sigmoid
 
 #: What the mean loss of a pair weighs against the penalty, and the distance of nodes of the score.
 PAIRS, NODES = 40_000, 0.1
+#: Tasks of a pass for each core, and sums that one task adds up.
+TASKS, FAN = 2, 32
 #: Buckets of hashed words.
 WORDS = 64
 KNOTS = (0.1, 0.3, 0.5, 0.7, 0.9)
@@ -269,8 +273,30 @@ def quantile(raw: np.ndarray, share: np.ndarray, below: float) -> float:
     return float((ends[at] + ends[at + 1]) / 2)
 
 
+SUMS = "at int, sums binary"
+
+
+def summed(sums: DataFrame, n: int) -> dict:
+    """Of the sums in n partitions, a row (at, pickled sums) each: tasks add up some FAN each, until one row is left
+    for the driver. They add in the order of `at`, whatever comes first, so that reruns agree."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = sorted((r for batch in batches for r in zip(batch["at"].tolist(), batch["sums"], strict=True)), key=lambda r: r[0])
+        if found:
+            out: dict = {}
+            for _, own in found:
+                merged(out, pickle.loads(own))
+            yield pd.DataFrame({"at": [found[0][0]], "sums": [pickle.dumps(out)]})
+
+    while n > 1:
+        n = -(-n // FAN)
+        sums = sums.repartition(n).mapInPandas(add, SUMS)
+    (row,) = sums.collect() or [None]
+    return pickle.loads(row["sums"]) if row else {}
+
+
 def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> Model:
-    """docs(doc_id, text), labels(doc_id, quality). Only sums over the rows come to the driver."""
+    """docs(doc_id, text), labels(doc_id, quality). Only sums over the rows come to the driver, a row a pass."""
     good = labels.where(~held_out("doc_id")).agg(F.avg(F.col("quality").cast("double"))).first()[0]
     rows = join_checked(docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")), labelled_rows(labels, "quality"), "id", "inner")
 
@@ -279,6 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> Model:
             yield pd.DataFrame({"label": batch["label"], "x": [v.tobytes() for v in features(batch["text"].tolist())]})
 
     rows = kept(rows.select("label", "text").mapInPandas(run, "label int, x binary"))
+    n = rows.rdd.getNumPartitions()
 
     def passes(f: Callable[[np.ndarray, np.ndarray], dict]) -> dict:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,12 +313,10 @@ def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> Model:
             for batch in batches:
                 if len(batch):
                     merged(out, f(np.frombuffer(b"".join(batch["x"])).reshape(-1, FORM + WORDS), batch["label"].to_numpy(dtype=np.int64)))
-            yield pd.DataFrame({"sums": [pickle.dumps(out)]})
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "sums": [pickle.dumps(out)]})
 
-        out: dict = {}
-        for r in rows.mapInPandas(part, "sums binary").collect():  # a row a partition
-            merged(out, pickle.loads(r["sums"]))
-        return out
+        wide = max(1, min(n, TASKS * rows.sparkSession.sparkContext.defaultParallelism))
+        return summed(rows.coalesce(wide).mapInPandas(part, SUMS), wide)
 
     return learn_from(passes, 0.5 if good is None else good, cut)
 
