@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from millrace.functions import features as X
+from millrace.functions import fit as M
 from millrace.functions import rules as R
 from millrace.functions import text as T
-from millrace.plans.views import view
+from millrace.operators import fit
+from millrace.plans.views import TEXT, view
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -66,3 +68,13 @@ def test_long_texts_are_cleaned_alike(spark):
     p, c = spark.createDataFrame([(t,) for t in odd], "t string"), F.col("t")
     for r in p.select(T.clean(c).alias("want"), T.clean_long(c).alias("got"), T.key(T.untagged(c)).alias("key"), T.key(T.clean(c)).alias("same")).collect():
         assert (r.got, r.key) == (r.want, r.same)
+
+
+@pytest.mark.parametrize("name", ["fit_role_families"])
+def test_fit_has_no_row_a_title_and_text(spark, odd, monkeypatch, name):
+    seen, once = [], fit.distinct
+    monkeypatch.setattr(fit, "distinct", lambda spark, sf_dir, *keys: seen.append(keys) or once(spark, sf_dir, *keys))
+    rows = M.role_fitted(M.said_facts(view(spark, odd, "postings"), "job_id").crossJoin(M.prepared(view(spark, odd, "seekers")))).withColumn("family_score", M.family_score())
+    names = {"fit_role_families": [F.array_join(n, "|").alias(n) for n in ("required_title", "required_said", "preferred_title", "preferred_said")] + ["family_score"], "fit_roles": ["target_role", "off_target"]}
+    alike(spark, name, odd, rows.select("profile_id", "job_id", *names[name]))
+    assert seen and not any({"title", *TEXT} <= set(keys) for keys in seen)
