@@ -70,7 +70,7 @@ def test_long_texts_are_cleaned_alike(spark):
         assert (r.got, r.key) == (r.want, r.same)
 
 
-@pytest.mark.parametrize("name", ["fit_role_families"])
+@pytest.mark.parametrize("name", ["fit_role_families", "fit_roles"])
 def test_fit_has_no_row_a_title_and_text(spark, odd, monkeypatch, name):
     seen, once = [], fit.distinct
     monkeypatch.setattr(fit, "distinct", lambda spark, sf_dir, *keys: seen.append(keys) or once(spark, sf_dir, *keys))
