@@ -12,7 +12,7 @@ from millrace.functions import fit as M
 from millrace.functions import rules as R
 from millrace.functions import text as T
 from millrace.operators import fit
-from millrace.plans.views import TEXT, view
+from millrace.plans.views import TEXT, beginnings, view
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -78,3 +78,25 @@ def test_fit_has_no_row_a_title_and_text(spark, odd, monkeypatch, name):
     names = {"fit_role_families": [F.array_join(n, "|").alias(n) for n in ("required_title", "required_said", "preferred_title", "preferred_said")] + ["family_score"], "fit_roles": ["target_role", "off_target"]}
     alike(spark, name, odd, rows.select("profile_id", "job_id", *names[name]))
     assert seen and not any({"title", *TEXT} <= set(keys) for keys in seen)
+
+
+@pytest.mark.parametrize("name", ["fit_title_signals"])
+def test_levels_are_read_once_a_text(spark, odd, monkeypatch, name):
+    seen, once = [], fit.distinct
+    monkeypatch.setattr(fit, "distinct", lambda spark, sf_dir, *keys: seen.append(keys) or once(spark, sf_dir, *keys))
+    rows = M.said_facts(view(spark, odd, "postings"), "job_id")
+    alike(spark, name, odd, rows.select("job_id", *[F.array_join(n, "|").alias(n) for n in ("weak", "generic", "levels", "junior_levels")]))
+    assert seen and not any({"title", *TEXT} <= set(keys) for keys in seen)
+
+
+def test_levels_that_begin_in_the_title(spark, odd, monkeypatch):
+    c, terms = F.col, ["staff", "level 3", "engineer senior lead", "c"]
+    own = spark.createDataFrame([(t,) for t in ("New", "Chief Level", "Head", "Sr", "Entry-", "Data engineer", "", "a <b", "Objective C", "x &lt;")], "title string")
+    monkeypatch.setattr(fit, "titles", lambda spark, sf_dir: own)
+    begin = beginnings(spark, odd, 700).cache()
+    texts = begin.select(*TEXT, *fit.level_facts(c("said"), terms)).cache()
+    got = fit.levels(spark, odd, texts.crossJoin(own), texts, terms)
+    want = begin.crossJoin(own).select("title", *TEXT, M.level_bits(T.clean(F.concat_ws(" ", "title", "said")), terms).alias("want"))
+    rows = got.join(want, ["title", *TEXT])
+    assert rows.count() == want.count() > 100 and rows.where("levels <> want").count() == 0
+    assert rows.where(f"title = 'New' and levels & {1 << len(R.LEVELS)} <> 0").count() > 0
