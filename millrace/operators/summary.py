@@ -11,9 +11,10 @@ from millrace.functions import features as X
 from millrace.functions import records as J
 from millrace.functions import rules as R
 from millrace.functions import text as T
-from millrace.operators.fit import _HEAD, fits
+from millrace.operators.fit import _HEAD, fits, titles
 from millrace.operators.postings import _OR, q_clean, q_key
-from millrace.plans.views import TEXT, ctes, once, table, view
+from millrace.operators.search import shared
+from millrace.plans.views import TEXT, beginnings, combinations, ctes, narrow, table, view, with_facts
 from millrace.registry import query
 
 
@@ -27,12 +28,24 @@ SELECT job_id, CASE WHEN own <> 'other' THEN own ELSE far END AS family, CASE WH
 """)
 def summary_role_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FEA-21: a broad family by the title, else by the title with 1,200 characters of skills and description."""
-    hint = F.substring(F.concat_ws(" ", *[F.nullif(T.clean(F.col(c)), F.lit("")) for c in ("extracted_skills", "description_text")]), 1, 1200)
-    family = lambda c: X.filing_family(c, F.lit(""))
-    keys = ("title", "extracted_skills", *TEXT)  # all that the family follows from
-    p = once(spark, sf_dir, *keys, own=family(F.col("title")), far=family(F.concat_ws(" ", F.col("title"), hint)))
-    basis = F.when(F.col("own") != "other", "title").when(F.col("far") != "other", "title_description").otherwise("unclassified")
-    return p.select("job_id", F.when(F.col("own") != "other", F.col("own")).otherwise(F.col("far")).alias("family"), basis.alias("basis"))
+    c, rules = F.col, [(label, [X._as_key(w) for w in words]) for label, words in R.FILING_FAMILIES]
+    keys = ("extracted_skills", *TEXT)
+    hint = F.substring(F.concat_ws(" ", F.nullif(T.clean(c("extracted_skills")), F.lit("")), F.nullif(c("said"), F.lit(""))), 1, 1200)
+    hints = combinations(spark, sf_dir, *keys).join(beginnings(spark, sf_dir, 1200), list(TEXT)).select(*keys, hint.alias("hint"))
+    own = titles(spark, sf_dir).select("title", X.padded(c("title")).alias("title_key"), X.plain(c("title")).alias("plain")).withColumn("own", X._first_rule(c("title_key"), rules))
+    own = shared(own.withColumn("unclear", c("own") == len(rules)))
+    said = shared(hints.select(*keys, T.let(X.padded(c("hint")), lambda t: X.said_rule(t, rules)).alias("said")))
+    p = narrow(spark, sf_dir).select("job_id", F.coalesce("title", F.lit("")).alias("title"), *keys)
+    p = with_facts(with_facts(p, own, "title"), said, *keys)
+    over = F.concat(F.rtrim(c("title_key")), c("said.head"))  # a word of the text, or one that begins in the title
+    p = p.withColumn("far", F.when(c("unclear"), F.least(c("said.at"), X._first_rule(over, rules))))
+    odd = own.where("unclear and not plain").select("title")
+    if not odd.isEmpty():  # markup in a title may reach into the text: such a combination is read whole
+        whole = hints.crossJoin(F.broadcast(odd)).select("title", *keys, T.let(X.padded(F.concat_ws(" ", "title", "hint")), lambda t: X._first_rule(t, rules)).alias("whole"))
+        p = with_facts(p, shared(whole), "title", *keys, how="left").withColumn("far", F.coalesce("whole", "far"))
+    at = F.when(c("unclear"), c("far")).otherwise(c("own"))
+    basis = F.when(~c("unclear"), "title").when(c("far") < len(rules), "title_description").otherwise("unclassified")
+    return p.select("job_id", X.rule_name(at, rules, "other").alias("family"), basis.alias("basis"))
 
 
 _PLACE = "STRUCT<headquarter: BOOLEAN, country: STRING, geographicArea: STRING, city: STRING, parsed: STRUCT<countryCode: STRING, state: STRING, city: STRING>>"

@@ -11,8 +11,8 @@ from millrace.functions import features as X
 from millrace.functions import fit as M
 from millrace.functions import rules as R
 from millrace.functions import text as T
-from millrace.operators import fit
-from millrace.plans.views import TEXT, beginnings, view
+from millrace.operators import fit, summary
+from millrace.plans.views import TEXT, beginnings, narrow, view
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -100,3 +100,15 @@ def test_levels_that_begin_in_the_title(spark, odd, monkeypatch):
     rows = got.join(want, ["title", *TEXT])
     assert rows.count() == want.count() > 100 and rows.where("levels <> want").count() == 0
     assert rows.where(f"title = 'New' and levels & {1 << len(R.LEVELS)} <> 0").count() > 0
+
+
+@pytest.mark.parametrize("title", ["Data", "a <b", ""])
+def test_role_basis_without_titles(spark, odd, monkeypatch, title):
+    seen, once = [], summary.combinations
+    monkeypatch.setattr(summary, "combinations", lambda spark, sf_dir, *keys: seen.append(keys) or once(spark, sf_dir, *keys))
+    monkeypatch.setattr(summary, "titles", lambda spark, sf_dir: spark.createDataFrame([(title,)], "title string"))
+    monkeypatch.setattr(summary, "narrow", lambda spark, sf_dir: narrow(spark, sf_dir).withColumn("title", F.lit(title)))
+    c, p = F.col, view(spark, odd, "postings")
+    hint = F.substring(F.concat_ws(" ", *[F.nullif(T.clean(c(n)), F.lit("")) for n in ("extracted_skills", "description_text")]), 1, 1200)
+    alike(spark, "summary_role_basis", odd, p.select("job_id", X.filing_family(F.concat_ws(" ", F.lit(title), hint), F.lit("")).alias("family")))
+    assert seen and not any("title" in keys for keys in seen)
