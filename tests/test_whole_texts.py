@@ -112,3 +112,15 @@ def test_role_basis_without_titles(spark, odd, monkeypatch, title):
     hint = F.substring(F.concat_ws(" ", *[F.nullif(T.clean(c(n)), F.lit("")) for n in ("extracted_skills", "description_text")]), 1, 1200)
     alike(spark, "summary_role_basis", odd, p.select("job_id", X.filing_family(F.concat_ws(" ", F.lit(title), hint), F.lit("")).alias("family")))
     assert seen and not any("title" in keys for keys in seen)
+
+
+@pytest.mark.parametrize("name", ["fit_scores"])
+def test_scores_have_no_row_a_title_and_text(spark, odd, monkeypatch, name):
+    seen, once = [], fit.distinct
+    monkeypatch.setattr(fit, "distinct", lambda spark, sf_dir, *keys: seen.append(keys) or once(spark, sf_dir, *keys))
+    got = run(spark, name, odd)
+    if name == "fit_scores":
+        rows = M.fitted(M.facts(view(spark, odd, "postings")).crossJoin(M.prepared(view(spark, odd, "seekers"))), F.pmod("job_id", F.lit(101)) / 100)
+        want = rows.select("profile_id", "job_id", F.round("penalty", 6).alias("penalty"), F.round(F.col("raw_score") + 1e-9, 6).alias("final_score"))
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert seen and not any({"title", *TEXT} <= set(keys) for keys in seen)
