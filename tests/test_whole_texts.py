@@ -114,7 +114,7 @@ def test_role_basis_without_titles(spark, odd, monkeypatch, title):
     assert seen and not any("title" in keys for keys in seen)
 
 
-@pytest.mark.parametrize("name", ["fit_scores"])
+@pytest.mark.parametrize("name", ["fit_scores", "summary_best_ten", "summary_quality_gate"])
 def test_scores_have_no_row_a_title_and_text(spark, odd, monkeypatch, name):
     seen, once = [], fit.distinct
     monkeypatch.setattr(fit, "distinct", lambda spark, sf_dir, *keys: seen.append(keys) or once(spark, sf_dir, *keys))
